@@ -55,4 +55,24 @@ select doc_id, size, source_size, target,
 from summed
 """
 
-ORACLES = {"op1_decontaminate": OP1, "op9_mix": OP9}
+def near_sql(k: int, percent: int, source: str = "documents") -> str:
+    """(doc_id, n_shingles, component_id, kept) of word shingles by plain set counting."""
+    return rf"""
+with recursive near_words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SPACES}') as w from {source}
+), near_sets as (
+  select distinct doc_id, array_to_string(list_slice(w, i, i + {k - 1}), ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - {k - 1}, 1) + 1)) as i from near_words where len(w) > 0)
+), near_sizes as (select doc_id, count(*) as n from near_sets group by doc_id),
+near_common as (select a.doc_id as x, b.doc_id as y, count(*) as c from near_sets a join near_sets b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+near_links as (
+  select x, y from near_common join near_sizes m on m.doc_id = x join near_sizes n on n.doc_id = y where 100 * c >= {percent} * (m.n + n.n - c)
+), near_both as (select x, y from near_links union all select y, x from near_links),
+near_reach as (select doc_id as x, doc_id as y from near_words union select r.x, b.y from near_reach r join near_both b on b.x = r.y),
+near_least as (select x, min(y) as component_id from near_reach group by x)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept
+from near_words left join near_sizes using (doc_id) join near_least on x = doc_id
+"""
+
+
+ORACLES = {"op1_decontaminate": OP1, "op8_near_duplicates": near_sql(3, 85), "op9_mix": OP9}

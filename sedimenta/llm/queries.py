@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, token_counts, token_pack
+from . import decontaminate, minhash, mixing, token_counts, token_pack, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,16 +22,25 @@ def op3_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_pack.token_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=85)
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_token_pack, op7_token_counts, op9_mix)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_token_pack, op4_toxicity, op7_token_counts, op8_near_duplicates, op9_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
