@@ -75,4 +75,32 @@ from near_words left join near_sizes using (doc_id) join near_least on x = doc_i
 """
 
 
-ORACLES = {"op1_decontaminate": OP1, "op8_near_duplicates": near_sql(3, 85), "op9_mix": OP9}
+def _kind_sql(kind: str, order: int, pattern: str, group: int, least: int) -> str:
+    """Spans of one kind, from the running lengths of what the pattern splits and matches."""
+    return rf"""
+select doc_id, '{kind}' as kind, {order} as ord, (list_sum(list_transform(pieces[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: len(x))), 0))::bigint as a, len(found[i]) as n
+from (
+  select doc_id, found, vals, pieces, unnest(range(1, len(found) + 1)) as i
+  from (select doc_id, regexp_extract_all(t, '{pattern}') as found, regexp_extract_all(t, '{pattern}', {group}) as vals, string_split_regex(t, '{pattern}') as pieces
+        from (select doc_id, coalesce(text, '') as t from documents))
+) where len(vals[i]) >= {least}"""
+
+
+_ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+OP6 = f"""
+with found as (
+{_kind_sql("assign", 0, _ASSIGN, 2, 6)}
+union all {_kind_sql("access", 1, "AKIA[A-Z0-9]+", 0, 20)}
+union all {_kind_sql("hex", 2, "[0-9a-f]+", 0, 24)}
+), joined as (
+  select doc_id, count_if(kind = 'assign') as n_assign, count_if(kind = 'access') as n_access, count_if(kind = 'hex') as n_hex,
+    string_agg(kind || ':' || a || ':' || (a + n), ',' order by a, ord) as spans
+  from found group by doc_id
+)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,
+  sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans
+from documents left join joined using (doc_id)
+"""
+
+ORACLES = {"op1_decontaminate": OP1, "op6_secrets": OP6, "op8_near_duplicates": near_sql(3, 85), "op9_mix": OP9}
