@@ -103,4 +103,19 @@ select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0):
 from documents left join joined using (doc_id)
 """
 
-ORACLES = {"op1_decontaminate": OP1, "op6_secrets": OP6, "op8_near_duplicates": near_sql(3, 85), "op9_mix": OP9}
+OP10 = """
+with recursive vec_all as (
+  select vec_id, embedding::double[] as v, label, row_number() over () as r from embeddings
+), vec_good as (
+  select *, sqrt(list_dot_product(v, v)) as norm from vec_all
+  where label is not null and v is not null and len(v) > 0 and len(list_filter(v, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0
+), vec_pairs as (
+  select a.vec_id as x, b.vec_id as y, a.r as rx from vec_good a join vec_good b on a.label = b.label and a.r <> b.r and len(a.v) = len(b.v)
+  where list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.93
+), vec_reach as (select vec_id as x, vec_id as y from vec_all union select r.x, p.y from vec_reach r join vec_pairs p on p.x = r.y),
+vec_least as (select x, min(y) as component_id from vec_reach group by x)
+select vec_id, (select count(*) from vec_pairs where rx = r)::bigint as n_links, component_id, vec_id = component_id as kept
+from vec_all join vec_least on x = vec_id
+"""
+
+ORACLES = {"op1_decontaminate": OP1, "op6_secrets": OP6, "op8_near_duplicates": near_sql(3, 85), "op9_mix": OP9, "op10_embedding_links": OP10}

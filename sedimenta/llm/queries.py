@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, mixing, secrets, token_counts, token_pack, toxicity
+from . import decontaminate, embeddings, minhash, mixing, secrets, token_counts, token_pack, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,8 +44,12 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_token_pack, op4_toxicity, op6_secrets, op7_token_counts, op8_near_duplicates, op9_mix)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_token_pack, op4_toxicity, op6_secrets, op7_token_counts, op8_near_duplicates, op9_mix, op10_embedding_links)}
 
 
 def oracle_sql() -> dict[str, str]:
