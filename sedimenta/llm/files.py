@@ -19,7 +19,7 @@ def new_file(folder: str, stem: str, ending: str):
     system, path = opened(folder)
     system.create_dir(path, recursive=True)
     name = f"{stem}-{uuid.uuid4().hex}{ending}"
-    return system.open_output_stream(f"{path}/{name}"), name
+    return system.open_output_stream(f"{path}/{name}", compression=None), name
 
 
 def read_file(folder: str, name: str):

@@ -118,4 +118,17 @@ select vec_id, (select count(*) from vec_pairs where rx = r)::bigint as n_links,
 from vec_all join vec_least on x = vec_id
 """
 
-ORACLES = {"op1_decontaminate": OP1, "op6_secrets": OP6, "op8_near_duplicates": near_sql(3, 85), "op9_mix": OP9, "op10_embedding_links": OP10}
+OP5 = """
+with payloads as (
+  select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha1(coalesce(html, '')) as h from pages
+), ranked as (
+  select *, max(page_id) over (partition by h) as keeper from payloads
+)
+select page_id, payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (i // 4)::int, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31)::int, 1)), 'string_agg', '') as payload_digest,
+  case when page_id = keeper then 'response' else 'revisit' end as record_type,
+  case when page_id = keeper then null else keeper end as refers_to
+from ranked
+"""
+
+ORACLES = {"op1_decontaminate": OP1, "op5_warc": OP5, "op6_secrets": OP6, "op8_near_duplicates": near_sql(3, 85), "op9_mix": OP9, "op10_embedding_links": OP10}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, minhash, mixing, secrets, token_counts, token_pack, toxicity
+from . import decontaminate, embeddings, minhash, mixing, secrets, token_counts, token_pack, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_report(table(spark, sf_dir, "pages"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), path_col="doc_id", text_col="text")
     return secrets.report(found)
@@ -49,7 +53,7 @@ def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_token_pack, op4_toxicity, op6_secrets, op7_token_counts, op8_near_duplicates, op9_mix, op10_embedding_links)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_token_pack, op4_toxicity, op5_warc, op6_secrets, op7_token_counts, op8_near_duplicates, op9_mix, op10_embedding_links)}
 
 
 def oracle_sql() -> dict[str, str]:
