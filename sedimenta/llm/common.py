@@ -157,3 +157,28 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     for i in range(1, k):
         h = mix(h * np.uint64(0x9FB21C651E98DF25) + words[i : i + n])
     return h
+
+
+class Scratch:
+    """Settled tables that a job drops as soon as later steps no longer read them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def settle(self, df: DataFrame, label: str) -> DataFrame:
+        self.paths[label] = shared_dir(self.spark, label)
+        df.write.parquet(self.paths[label])
+        return self.spark.read.schema(df.schema).parquet(self.paths[label])
+
+    def drop(self, *labels: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        for label in labels:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(label))
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def sweep(self) -> None:
+        """Let the context cleaner find the shuffles of finished steps."""
+        import gc
+
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()

@@ -131,4 +131,21 @@ select page_id, payload_bytes,
 from ranked
 """
 
-ORACLES = {"op1_decontaminate": OP1, "op5_warc": OP5, "op6_secrets": OP6, "op8_near_duplicates": near_sql(3, 85), "op9_mix": OP9, "op10_embedding_links": OP10}
+OP2 = """
+with texts as (select doc_id, hex(encode(coalesce(text, ''))) as x, strlen(coalesce(text, ''))::bigint as n from documents),
+starts as (select doc_id, i, md5(substr(x, 2 * i + 1, 800)) as h from (select doc_id, x, unnest(range(0, greatest(n - 399, 0))) as i from texts)),
+twice as (select h from starts group by h having count(*) > 1),
+steps as (select doc_id, i, i - lag(i) over (partition by doc_id order by i) > 400 as gap from starts join twice using (h)),
+runs as (select doc_id, i, sum(case when gap then 1 else 0 end) over (partition by doc_id order by i) as g from steps),
+spans as (select doc_id, min(i) as a, max(i) + 400 as b from runs group by doc_id, g),
+pieces as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from spans),
+kept as (
+  select doc_id, count(*) as n_spans, sum(b - a) as n_removed, max(b) as last, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' order by a) as front
+  from pieces join texts using (doc_id) group by doc_id
+)
+select doc_id, n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(unhex(coalesce(front, '') || substr(x, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from texts left join kept using (doc_id)
+"""
+
+ORACLES = {"op1_decontaminate": OP1, "op2_suffix_dedup": OP2, "op5_warc": OP5, "op6_secrets": OP6, "op8_near_duplicates": near_sql(3, 85), "op9_mix": OP9, "op10_embedding_links": OP10}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, minhash, mixing, secrets, token_counts, token_pack, toxicity, warc
+from . import decontaminate, embeddings, minhash, mixing, secrets, suffix_dedup, token_counts, token_pack, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest_columns(found)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op3_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_pack.token_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -53,7 +57,7 @@ def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_token_pack, op4_toxicity, op5_warc, op6_secrets, op7_token_counts, op8_near_duplicates, op9_mix, op10_embedding_links)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_suffix_dedup, op3_token_pack, op4_toxicity, op5_warc, op6_secrets, op7_token_counts, op8_near_duplicates, op9_mix, op10_embedding_links)}
 
 
 def oracle_sql() -> dict[str, str]:
