@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import re
+from enum import Enum
 from typing import Any
 
 import pandas as pd
@@ -16,7 +17,15 @@ from pyspark.sql import types as T
 
 from ..errors import Refused
 
-ABSENT = object()
+
+
+class _Mark(Enum):
+    """One object in every process, whatever pickles it."""
+
+    ABSENT = "absent"
+
+
+ABSENT = _Mark.ABSENT
 SAFE_INTEGER = 2**53 - 1
 
 

@@ -258,7 +258,7 @@ def process(rows: DataFrame, callback: Callable[[dict], list[dict]], *, allowed:
 
     from pyspark.sql.types import StructType
 
-    names = set(StructType.fromDDL(schema).names) if hasattr(StructType, "fromDDL") else {f.strip().split()[0] for f in schema.split(",")}
+    names = StructType.fromDDL(schema).names
     if media:
         from .guards import refuse_any
 
@@ -269,9 +269,9 @@ def process(rows: DataFrame, callback: Callable[[dict], list[dict]], *, allowed:
             out = []
             for row in pdf.to_dict("records"):
                 for got in callback(row):
-                    if set(got) != names or len(json.dumps(got, default=str)) > most_bytes:
+                    if set(got) != set(names) or len(json.dumps(got, default=str)) > most_bytes:
                         raise Refused("a processor's output breaks its contract")
                     out.append(got)
-            yield pd.DataFrame(out, columns=[f for f in StructType.fromDDL(schema).names])
+            yield pd.DataFrame(out, columns=names)
 
     return rows.select(*allowed).mapInPandas(run, schema)
