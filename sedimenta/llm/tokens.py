@@ -9,12 +9,13 @@ unseen chunks go through the library, in batches."""
 from __future__ import annotations
 
 import os
+from itertools import chain, repeat
 
 import numpy as np
 from tokenizers import Tokenizer
 
 #: Chunks that a worker remembers before it starts afresh: a bound on memory alone.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 _ENCODERS: dict[str, "ChunkEncoder"] = {}
 
@@ -75,13 +76,13 @@ class ChunkEncoder:
         if len(self.known) > REMEMBERED:
             self._forget()
         split = [self.chunks(t) for t in texts]
-        get = self.known.get
-        new = {c for own in split for c in own if get(c) is None}
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        chunks = list(chain.from_iterable(split))
+        flat = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(flat < 0).tolist()
         if new:
-            self._learn(list(new))
-            get = self.known.get
-        counts = np.fromiter((len(s) for s in split), np.int64, len(split))
-        flat = np.fromiter((get(c) for own in split for c in own), np.int64, int(counts.sum()))
+            self._learn(list({chunks[i] for i in new}))
+            flat[new] = [self.known[chunks[i]] for i in new]
         sizes = self.sizes[flat].astype(np.int64)
         sums = np.concatenate(([0], np.cumsum(sizes)))
         first = np.concatenate(([0], np.cumsum(counts)))
