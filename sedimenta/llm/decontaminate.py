@@ -16,7 +16,6 @@ each reported; an empty benchmark hits nothing.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -171,7 +170,7 @@ def digest_columns(found: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, action: str = "drop") -> DataFrame:
     """The documents' own columns without contaminated rows (``drop``), or with hit
-    spans cut out of the text (``cut``).  Both look at whole texts in one scan of
+    spans cut out of the text, and ``n_chars`` to match (``cut``).  Both look at whole texts in one scan of
     ``docs`` and move no text between executors."""
     spark = docs.sparkSession
     rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).toLocalIterator()
@@ -207,11 +206,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, action
             if action == "cut":
                 valid = batch.column("text").is_valid().to_pylist()
                 fresh = pa.array([t if ok else None for t, ok in zip(texts, valid, strict=True)], batch.schema.field("text").type)
-                batch = batch.set_column(names.index("text"), "text", fresh)
+                batch = batch.set_column(names.index("text"), batch.schema.field("text"), fresh)
+                if "n_chars" in names:
+                    field = batch.schema.field("n_chars")
+                    sizes = [None if t is None else len(t) for t in fresh.to_pylist()]
+                    batch = batch.set_column(names.index("n_chars"), field, pa.array(sizes, field.type))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(scan, docs.schema)
-
-
-def item_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

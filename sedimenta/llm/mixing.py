@@ -129,9 +129,11 @@ def mix_report(docs: DataFrame, **how) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The documents of the mix, each row as often as it is taken, with ``docs``' columns."""
+    """The documents of the mix, each row as often as it is taken, with ``docs``' columns.
+    A row without an id is known by its text."""
     names = docs.columns
-    sized = settle(with_sizes(docs, ["doc_id", "source"]).where("doc_id is not null"), "mix-sizes")
-    plan = settle(plan_mix(sized, F.col("doc_id"), **how).groupBy("doc_id").agg(F.max("copies").alias("__copies")).where("__copies > 0"), "mix-plan")
-    rows = docs.join(plan, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.sha2(F.coalesce("text", F.lit("")), 256))))
+    sized = settle(with_sizes(keyed, ["__key", "source"]), "mix-sizes")
+    plan = settle(plan_mix(sized, F.col("__key"), **how).groupBy("__key").agg(F.max("copies").alias("__copies")).where("__copies > 0"), "mix-plan")
+    rows = keyed.join(plan, "__key").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return rows.select(*names)
