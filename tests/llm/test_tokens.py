@@ -1,4 +1,3 @@
-import io
 import zlib
 
 import numpy as np
@@ -27,8 +26,9 @@ def test_pack_round_trip_and_random_access(bits, tmp_path):
         r = p.PackedReader(f)
         for a, b in ((0, 1), (63, 65), (100, 5000), (9990, 10_001), (5, 5)):
             assert (r.read(a, b) == ids[a:b]).all()
-    with pytest.raises(ValueError):
-        p.pack(np.array([1 << bits], np.uint64), bits) if bits < 32 else p.PackedReader(io.BytesIO(b"x" * 40))
+    if bits < 32:
+        with pytest.raises(ValueError):
+            p.pack(np.array([1 << bits], np.uint64), bits)
 
 
 TEXTS = ["Hello, World!", "it's  don't we'LL", "é́ naïve ÉCOLE İstanbul", "a<|endoftext|>b <|ENDOFTEXT|>", "x,y.z; (q) 12,345 ...!", "tab\tnl\nnbsp em  zero​", "", " ", "ΣΑΣ ǅ ﬁ ½ ١٢", "a" * 500]
