@@ -180,6 +180,10 @@ O["paragraph_segments"] = f"""
 select doc_id, 0::int as ordinal, strlen(regexp_extract(text, '^[{WORDS[2:-2]}]*'))::bigint as start, (strlen(text) - strlen(regexp_extract(text, '[{WORDS[2:-2]}]*\\z')))::bigint as "end",
   sha256(regexp_replace(regexp_replace(text, '^[{WORDS[2:-2]}]+', ''), '[{WORDS[2:-2]}]+\\z', '')) as content_sha256
 from documents where regexp_matches(text, '{WORDS}')"""
+O["text_anomalies"] = f"""
+select page_id, concat_ws(',', case when regexp_matches(html, '&(?:[A-Za-z]+|#[0-9]+);') then 'entity' end, case when regexp_matches(html, '</?[A-Za-z][^>]*>') then 'markup' end, case when html = url then 'equals-title' end,
+  case when regexp_matches(html, '[\x00-\x08\x0B\x0C\x0E-\x1F]') then 'control' end, case when regexp_matches(html, '[A-Z]') and not regexp_matches(html, '[a-z]') then 'upper-case' end,
+  case when html <> regexp_replace(regexp_replace(html, '^[{WORDS[2:-2]}]+', ''), '[{WORDS[2:-2]}]+\\z', '') then 'edge-space' end) as anomalies from pages"""
 O["interval_coverage"] = """
 with s as (select l_orderkey, l_linenumber * 10 as a, (l_linenumber * 10 + l_quantity)::bigint as b from lineitem),
 t as (select l_orderkey, a, b, coalesce(max(b) over (partition by l_orderkey order by a, b rows between unbounded preceding and 1 preceding), a) as before from s)
