@@ -7,12 +7,12 @@ hash).  Two sketches agree in a coordinate with the sets' Jaccard similarity, an
 agreement is concentrated.
 
 Candidates.  Documents with equal shingle sets are one class, represented by its smallest
-id.  Representatives that agree in a whole band share a bucket.  First each bucket's
-members are checked against one centre, the member that shares most buckets with others,
-and components formed.  Then members of one bucket that are still in different components
-are compared block by block: pairs whose sizes and sketches allow the threshold are
-verified too.  So a large group costs one check a member, while no pair of a bucket that
-could join two components is left out.
+id.  Representatives that agree in a whole band share a bucket.  First every member is
+checked against one centre, the member of its buckets that shares most buckets with others,
+and components are formed.  Then members of one bucket that are still in different
+components are compared block by block, by sizes, sketches and hashed sets, and a block
+returns a spanning forest of the links it finds.  So a large group costs one check a
+member, while no pair of a bucket that could join two components is left out.
 
 Verification counts whole shingle sets of the words themselves.
 
@@ -150,10 +150,73 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return rows.select("c", "part", "seat", "id", "text").repartition(n, "c", "part").sortWithinPartitions("c", "part", "seat").mapInArrow(check, "a long, b long")
 
 
-def _cross_pairs(live: DataFrame, places: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket in different components that sizes and sketches do not rule out.
-    Only members outside a bucket's largest component are compared with all others, in
-    blocks of about ``BLOCK``; the largest component is never compared with itself."""
+def _hashed_sets(texts: DataFrame, k: int) -> DataFrame:
+    """``x, hashes``: the set of each text as sorted 32-bit hashes."""
+
+    def hashed(batches):
+        for batch in batches:
+            buf, offsets = text_buffer(batch.column("text"))
+            out = []
+            for a, b in blocks(offsets):
+                out += [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in _sets(LOWER[buf[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a], k)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], names=["x", "hashes"])
+
+    return texts.select("id", F.col("text").cast("string").alias("text")).mapInArrow(hashed, "x long, hashes binary")
+
+
+def _agreement(percent: int, t: int) -> float:
+    """The share of equal coordinates that a pair at the threshold falls short of with a
+    chance of ``MISS``."""
+    p, total = percent / 100, 0.0
+    for i in range(t + 1):
+        total += math.exp(math.lgamma(t + 1) - math.lgamma(i + 1) - math.lgamma(t - i + 1) + i * math.log(p) + (t - i) * math.log1p(-p))
+        if total > MISS:
+            return i / t
+    return p
+
+
+def _block_links(rows: list[list], percent: int) -> tuple[list[int], list[int]]:
+    """Links between components within one block of [x, comp, n, sketch, hashes]: those that
+    join what earlier ones have not.  A link that two hash collisions could have made is
+    returned but joins nothing here."""
+    xs, comps = [r[0] for r in rows], np.array([r[1] for r in rows])
+    ns = np.array([r[2] for r in rows], float)
+    sketch = np.stack([np.frombuffer(r[3], np.uint16) for r in rows])
+    sets = [np.frombuffer(r[4], np.uint32) for r in rows]
+    floor, least = _agreement(percent, sketch.shape[1]), percent / 100
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.setdefault(c, c) != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    out_a, out_b = [], []
+    for i in range(len(xs) - 1):
+        j = np.flatnonzero((comps[i + 1 :] != comps[i]) & (np.minimum(ns[i + 1 :], ns[i]) >= least * np.maximum(ns[i + 1 :], ns[i]))) + i + 1
+        if not len(j):
+            continue
+        agree = (sketch[j] == sketch[i]).mean(axis=1)
+        j, agree = j[agree >= floor], agree[agree >= floor]
+        for o in j[np.argsort(-agree, kind="stable")].tolist():
+            if root(int(comps[i])) == root(int(comps[o])):
+                continue
+            common = len(np.intersect1d(sets[i], sets[o], assume_unique=True))
+            union = ns[i] + ns[o] - common
+            if 100 * (common + 2) < percent * (union - 2):
+                continue
+            out_a.append(min(xs[i], xs[o]))
+            out_b.append(max(xs[i], xs[o]))
+            if 100 * (common - 2) >= percent * (union + 2):
+                parent[root(int(comps[i]))] = root(int(comps[o]))
+    return out_a, out_b
+
+
+def _cross_pairs(live: DataFrame, places: DataFrame, signs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket that join different components.  Only members outside a bucket's
+    largest component are compared with all others, in blocks of about ``BLOCK``; the
+    largest component is never compared with itself."""
     placed = live.join(places.withColumnRenamed("id", "x"), "x", "left").select("key", "x", F.coalesce("component", "x").alias("comp"))
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all"), F.count("*").alias("comps")).where("comps > 1")
@@ -166,41 +229,28 @@ def _cross_pairs(live: DataFrame, places: DataFrame, signs: DataFrame, percent:
     to_big = members.where("other").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ng") - 1))).select("key", "x", "comp", F.col("own").alias("i"), (-1 - F.col("j")).alias("j"))
     big = members.where("not other").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("no") - 1))).select("key", "x", "comp", "i", (-1 - F.col("own")).alias("j"))
     tasks = to_others.unionByName(to_big).unionByName(big)
-    rows = tasks.join(signs.select(F.col("doc_id").alias("x"), "n_shingles", "sketch"), "x")
-    least = percent / 100
-
-    def compare(group_rows):
-        xs = np.array([r[0] for r in group_rows])
-        comps = np.array([r[1] for r in group_rows])
-        ns = np.array([r[2] for r in group_rows], float)
-        sk = np.stack([np.frombuffer(r[3], np.uint16) for r in group_rows])
-        # 6 standard deviations below the threshold's agreement
-        floor = least - 6 * math.sqrt(least * (1 - least) / sk.shape[1])
-        out_a, out_b = [], []
-        for i in range(len(xs) - 1):
-            j = np.flatnonzero((comps[i + 1 :] != comps[i]) & (np.minimum(ns[i + 1 :], ns[i]) >= least * np.maximum(ns[i + 1 :], ns[i]))) + i + 1
-            j = j[(sk[j] == sk[i]).mean(axis=1) >= floor] if len(j) else j
-            out_a += np.minimum(xs[i], xs[j]).tolist()
-            out_b += np.maximum(xs[i], xs[j]).tolist()
-        return out_a, out_b
+    # A bucket with the members of another one brings no new pairs.
+    same = members.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("x").cast("decimal(38,0)")).alias("h")).groupBy("m", "h").agg(F.min("key").alias("key"))
+    tasks = tasks.join(same.select("key"), "key", "left_semi")
+    rows = tasks.join(signs.select(F.col("doc_id").alias("x"), "n_shingles", "sketch"), "x").join(sets, "x")
 
     def search(batches):
         at, own = None, []
         for batch in batches:
             out_a, out_b = [], []
-            columns = [batch.column(n).to_pylist() for n in ("key", "i", "j", "x", "comp", "n_shingles", "sketch")]
+            columns = [batch.column(n).to_pylist() for n in ("key", "i", "j", "x", "comp", "n_shingles", "sketch", "hashes")]
             for key, i, j, *row in zip(*columns, strict=True):
                 if (key, i, j) != at:
-                    a, b = compare(own) if len(own) > 1 else ([], [])
+                    a, b = _block_links(own, percent) if len(own) > 1 else ([], [])
                     out_a, out_b, own, at = out_a + a, out_b + b, [], (key, i, j)
                 own.append(row)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["c", "x"])
         if len(own) > 1:
-            a, b = compare(own)
+            a, b = _block_links(own, percent)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["c", "x"])
 
     n = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = rows.select("key", "i", "j", "x", "comp", "n_shingles", "sketch").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    cut = rows.select("key", "i", "j", "x", "comp", "n_shingles", "sketch", "hashes").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return cut.mapInArrow(search, "c long, x long").distinct()
 
 
@@ -217,17 +267,16 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, rows: int
     shared = postings.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     live = settle(postings.join(shared, "key"), "near-live")
     degrees = live.groupBy("x").agg(F.sum("m").alias("degree"))
-    centres = live.join(degrees, "x").groupBy("key").agg(F.max(F.struct("degree", (-F.col("x")).alias("neg"))).alias("top")).select("key", (-F.col("top.neg")).alias("c"))
-    stars = live.join(centres, "key").where("x <> c").select("c", "x").distinct()
+    centres = live.join(degrees, "x").groupBy("key").agg(F.max(F.struct("degree", (-F.col("x")).alias("neg"))).alias("top")).select("key", "top.degree", (-F.col("top.neg")).alias("c"))
+    best = F.max(F.struct("degree", (-F.col("c")).alias("neg"))).alias("best")
+    stars = live.join(centres, "key").groupBy("x").agg(best).select((-F.col("best.neg")).alias("c"), "x").where("c <> x")
     needed = live.select(F.col("x").alias("id")).distinct()
     texts = settle(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(needed, "id", "left_semi"), "near-texts")
     # Rows that share an id, or a class through another row of that id, are one vertex.
     same = known.join(classes, "digest").where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     links = settle(_verify(stars, texts, k, percent), "near-links")
     places = settle(connected_components(links, "near-first"), "near-places")
-    rest = _cross_pairs(live, places, reps, percent)
-    tried = stars.select(F.least("c", "x").alias("c"), F.greatest("c", "x").alias("x"))
-    rest = settle(rest.join(tried, ["c", "x"], "left_anti"), "near-rest")
+    rest = settle(_cross_pairs(live, places, reps, _hashed_sets(texts, k), percent), "near-rest")
     more = settle(_verify(rest, texts, k, percent), "near-more")
     final = settle(connected_components(places.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more), "near-final"), "near-final")
     # Smallest id of a class is its representative, so copies only look their class up.
