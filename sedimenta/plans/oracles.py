@@ -194,7 +194,7 @@ O["coverage_census"] = f"""
 with x as (select lang, text, length(text) as n, regexp_matches(text, '{WORDS}') as present from documents),
 r as (select lang, n, row_number() over (partition by lang order by n) as r, count(*) over (partition by lang) as c from x where present),
 p as (select lang, min(n) filter (r >= ceil(0.5 * c)) as p50, min(n) filter (r >= ceil(0.9 * c)) as p90, min(n) filter (r >= ceil(0.99 * c)) as p99 from r group by lang)
-select lang, count(*) as rows, count_if(text is null)::bigint as null_rows, count_if(not present)::bigint as blank_rows, count_if(present)::bigint as present_rows, any_value(p50) as p50, any_value(p90) as p90, any_value(p99) as p99
+select lang, count(*) as rows, count_if(text is null)::bigint as null_rows, count_if(not present)::bigint as blank_rows, count_if(present)::bigint as present_rows, any_value(p50)::int as p50, any_value(p90)::int as p90, any_value(p99)::int as p99
 from x left join p using (lang) group by lang"""
 O["field_census"] = """
 select 'k' as field, count(*) as present, count(*) as non_null, count(*) as non_empty, max(strlen(props ->> '$.k'))::int as largest from events
