@@ -294,4 +294,4 @@ def keep_one(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     id stay or go together."""
     found = settle(near_duplicates(docs.select("doc_id", "text"), k=k, percent=percent), "near-report")
     gone = found.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti")  # one plan at every size

@@ -135,5 +135,5 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.sha2(F.coalesce("text", F.lit("")), 256))))
     sized = settle(with_sizes(keyed, ["__key", "source"]), "mix-sizes")
     plan = settle(plan_mix(sized, F.col("__key"), **how).groupBy("__key").agg(F.max("copies").alias("__copies")).where("__copies > 0"), "mix-plan")
-    rows = keyed.join(plan, "__key").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    rows = keyed.join(plan.hint("merge"), "__key").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return rows.select(*names)
