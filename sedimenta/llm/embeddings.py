@@ -4,8 +4,10 @@ Vectors of one label are dealt by hash to shards of about ``SHARD`` vectors, and
 shard gets a graph of its own.  Every vector queries every shard of its label: for a pair
 of shards one task searches either's vectors in the other's graph.  A search keeps a beam;
 a beam whose every member passes the threshold is widened, and a task's beams are widened
-until an audit, a fixed share of its queries compared with the whole shard, finds the
-wanted recall; a beam that would visit about the whole shard looks at all of it.  Links found are verified by cosine in double precision; a task returns
+until an audit finds the wanted recall, averaged over queries; a widened beam that would
+visit about the whole shard looks at all of it.  The audit compares two sets of queries with
+the whole shard: some of the task's own that have links, and probes planted beside indexed
+vectors within the threshold, so that there is always something to find.  Links found are verified by cosine in double precision; a task returns
 link counts and a spanning forest of its links, never the links of a dense group, and the
 forests' connected components are the classes.
 
@@ -32,9 +34,11 @@ SHARD = 2048
 DEGREE = 16
 BUILD_BEAM = 48
 BEAM = 48
+#: Own queries and planted probes of an audit.
 AUDIT = 32
+PROBES = 128
 RECALL = 0.99
-#: A beam of 1 / WHOLE of a shard is taken as wide as the shard.
+#: A widened beam of 1 / WHOLE of a shard is taken as wide as the shard.
 WHOLE = 8
 
 
@@ -177,36 +181,55 @@ class Graph:
         return own
 
 
+def _probes(index: np.ndarray, least: float) -> np.ndarray:
+    """Vectors at a cosine halfway between ``least`` and 1 to indexed ones, spread over the shard."""
+    at = np.unique(np.linspace(0, len(index) - 1, min(PROBES, len(index))).astype(int))
+    cosine = min(1.0, max(0.0, (1 + least) / 2))
+    aside = np.random.default_rng(len(index)).normal(size=(len(at), index.shape[1]))
+    aside -= np.einsum("ij,ij->i", aside, index[at])[:, None] * index[at]
+    length = np.linalg.norm(aside, axis=1)[:, None]
+    aside = np.where(length > 1e-9, aside / np.maximum(length, 1e-9), 0)
+    out = cosine * index[at] + math.sqrt(1 - cosine * cosine) * aside
+    return out / np.linalg.norm(out, axis=1)[:, None]
+
+
+def _recall(got: np.ndarray, truth: np.ndarray) -> float:
+    """The mean share of true links found, over the queries that have any."""
+    some = truth.any(axis=1)
+    return float(((got & truth)[some].sum(axis=1) / truth[some].sum(axis=1)).mean()) if some.any() else 1.0
+
+
 def _links(graph: Graph, index: np.ndarray, queries: np.ndarray, least: float, recall: float) -> tuple[np.ndarray, np.ndarray]:
     """(query, vector) pairs with cosine >= ``least`` that the graph finds.  Beams double
     where all members pass, and for all queries until the audit is passed."""
     n = len(index)
     audit = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
     truth = queries[audit] @ index.T >= least
-    beam = min(BEAM, n)
+    probes = _probes(index, least)
+    planted = probes @ index.T >= least
+    first = beam = min(BEAM, n)
 
-    def passing(which: np.ndarray, beam: int) -> np.ndarray:
-        out = np.zeros((len(which), n), bool)
-        todo = np.arange(len(which))
+    def passing(queries: np.ndarray, beam: int) -> np.ndarray:
+        out = np.zeros((len(queries), n), bool)
+        todo = np.arange(len(queries))
         while len(todo):
-            if beam * WHOLE >= n:  # a beam this wide visits about every vector: look at all
-                out[todo] = queries[which[todo]] @ index.T >= least
+            if beam > first and beam * WHOLE >= n:  # a beam this wide visits about every vector: look at all
+                out[todo] = queries[todo] @ index.T >= least
                 break
-            ids = graph.search(queries[which[todo]], beam)
-            sims = np.einsum("ijk,ik->ij", index[ids], queries[which[todo]])
+            ids = graph.search(queries[todo], beam)
+            sims = np.einsum("ijk,ik->ij", index[ids], queries[todo])
             ok = (ids >= 0) & (sims >= least)
             r, c = np.nonzero(ok)
             out[todo[r], ids[r, c]] = True
             full = ok.sum(axis=1) >= min(beam, n)
-            todo, beam = (todo[full], min(beam * 2, n)) if beam < n else (todo[:0], beam)
+            todo, beam = todo[full], beam * 2
         return out
 
-    while True:
-        got = passing(audit, beam)
-        if beam * WHOLE >= n or (got & truth).sum() >= recall * truth.sum():
+    while beam == first or beam * WHOLE < n:
+        if min(_recall(passing(queries[audit], beam), truth), _recall(passing(probes, beam), planted)) >= recall:
             break
-        beam = min(beam * 2, n)
-    found = passing(np.arange(len(queries)), beam)
+        beam *= 2
+    found = passing(queries, beam)
     found[audit] |= truth
     return np.nonzero(found)
 

@@ -60,3 +60,39 @@ def test_search_recall_and_widening():
     a, b = e._links(g, v, v, 0.93, 0.99)
     true = (v @ v.T >= 0.93).sum()
     assert len(a) >= 0.97 * true and (np.einsum("ij,ij->i", v[a], v[b]) >= 0.93 - 1e-12).all()
+
+
+def unit(v):
+    return v / np.linalg.norm(v, axis=1)[:, None]
+
+
+def test_small_shards_are_searched_by_their_graph(monkeypatch):
+    r = np.random.default_rng(2)
+    v = unit(np.repeat(r.normal(size=(100, 16)), 2, axis=0) + 0.05 * r.normal(size=(200, 16)))
+    g, searched, search = e.Graph(v), [], e.Graph.search
+    monkeypatch.setattr(e.Graph, "search", lambda self, q, beam: searched.append(len(q)) or search(self, q, beam))
+    a, _ = e._links(g, v, v, 0.93, 0.99)
+    assert max(searched, default=0) == len(v) and len(a) >= 0.99 * (v @ v.T >= 0.93).sum()
+
+
+def test_recall_of_the_graph_in_large_shards():
+    r = np.random.default_rng(6)
+    v = unit(np.repeat(r.normal(size=(900, 24)), 2, axis=0) + 0.1 * r.normal(size=(1800, 24)))
+    a, b = e._links(e.Graph(v), v, v, 0.93, 0.99)
+    found = np.zeros((len(v), len(v)), bool)
+    found[a, b] = True
+    assert e._recall(found, v @ v.T >= 0.93) >= 0.99
+
+
+def test_audit_notices_what_its_own_queries_cannot():
+    """No audited query has a link, and a twentieth of the shard cannot be reached."""
+    r = np.random.default_rng(5)
+    v, q = unit(r.normal(size=(900, 24))), unit(r.normal(size=(600, 24)))
+    cut = np.arange(3, 900, 20)
+    mine = np.setdiff1d(np.arange(600), np.linspace(0, 599, e.AUDIT).astype(int))[: len(cut)]
+    q[mine] = v[cut]
+    g = e.Graph(v)
+    for links in g.links:
+        links[np.isin(links, cut)] = -1
+    a, b = e._links(g, v, q, 0.93, 0.99)
+    assert set(zip(mine.tolist(), cut.tolist())) <= set(zip(a.tolist(), b.tolist()))
