@@ -318,8 +318,7 @@ def selection_overlay(spark, sf_dir):
 
 @query
 def utf16_order(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 12).alias("head"))
-    return docs.select("doc_id", F.hex(text.utf16_key("head")).alias("sort_key"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.hex(text.utf16_key("text")).alias("sort_key"))
 
 
 # --- catalogs --------------------------------------------------------------------------

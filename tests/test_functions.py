@@ -217,3 +217,13 @@ def test_secret_rules(spark):
     value = {"Api-Key": 1, "ok": ["x", SECRETS["jwt"]], SECRETS["github-token"]: {"n": 1}}
     assert security.secret_paths(value) == sorted(["$.Api-Key", "$.ok[1]", f"$.{SECRETS['github-token']}"])
     assert security.redact(value) == {"Api-Key": security.REDACTED, "ok": ["x", security.REDACTED], security.REDACTED: {"n": 1}}
+
+
+def test_utf16_order_ranks_whole_texts(spark, tmp_path):
+    from sedimenta.plans.queries import queries
+
+    shared = "the same opening "
+    texts = [shared + t for t in ("b", "a", "😀", "￮", "", "ab", "a\u0000")]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries()["utf16_order"](spark, str(tmp_path)).orderBy("sort_key").collect()
+    assert [r.doc_id for r in rows] == sorted(range(len(texts)), key=lambda i: texts[i].encode("utf-16-be"))
