@@ -3,7 +3,8 @@ white-space-delimited chunk.
 
 The vocabularies used here drop white space and never join across it, so a text's ids
 are its chunks' ids one after another.  Each Python worker keeps a bounded table of the
-chunks it has met (ASCII letters lower-cased, as the vocabulary itself does), and only
+chunks it has met (those of ASCII alone lower-cased, as the vocabulary does; in others it
+composes characters first), and only
 unseen chunks go through the library, in batches."""
 
 from __future__ import annotations
@@ -69,7 +70,9 @@ class ChunkEncoder:
     @staticmethod
     def chunks(data: bytes) -> list[bytes]:
         # The names of special tokens count with their own case only.
-        return data.split() if b"<|" in data else data.lower().split()
+        if b"<|" in data:
+            return data.split()
+        return data.lower().split() if data.isascii() else [c.lower() if c.isascii() else c for c in data.split()]
 
     def encode(self, texts: list[bytes], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, offsets), each text followed by ``end``."""

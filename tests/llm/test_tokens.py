@@ -75,3 +75,10 @@ def test_unfinished_and_empty_files(spark, no_docs, tmp_path):
         got = sorted(tuple(r) for r in c.count_flat(files, f"file://{tmp_path}", 2, 9, block_bytes=block).collect())
         assert got == [("a", 0, 0, 1, True), ("a", 1, 2, 0, True), ("a", 2, 3, 1, False), ("c", 0, 0, 0, True), ("d", 0, 0, 3, False)]
     assert c.count_documents(no_docs).count() == 0
+
+
+def test_characters_are_composed_before_they_are_lowered():
+    library, own = Tokenizer.from_file(default_vocabulary()), ChunkEncoder(default_vocabulary())
+    texts = [f"a{c} Word a{c}, {c.lower()}" for c in ("H̱", "T̈", "W̊", "Y̊", "J̌")]
+    ids, offsets = own.encode([t.encode() for t in texts], None)
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
