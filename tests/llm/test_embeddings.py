@@ -8,7 +8,7 @@ from sedimenta.llm import embeddings as e
 def brute(rows, least=0.93):
     good = {}
     for i, (v, x, l) in enumerate(rows):
-        if l is not None and v is not None and x and all(c is not None and math.isfinite(c) for c in x) and any(x):
+        if l is not None and x and all(c is not None and math.isfinite(c) for c in x) and any(x):
             a = np.array(x, np.float32).astype(float)
             good[i] = (a / np.linalg.norm(a), l, len(x))
     links = {i: [j for j in good if j != i and good[j][1:] == good[i][1:] and good[i][0] @ good[j][0] >= least] for i in good}
@@ -96,3 +96,27 @@ def test_audit_notices_what_its_own_queries_cannot():
         links[np.isin(links, cut)] = -1
     a, b = e._links(g, v, q, 0.93, 0.99)
     assert set(zip(mine.tolist(), cut.tolist())) <= set(zip(a.tolist(), b.tolist()))
+
+
+def test_audits_are_told_and_shards_do_not_depend_on_the_run(spark):
+    rows = spark.createDataFrame([(*r, "clash") for r in data()], SCHEMA)
+    results = [e.find_links(rows.repartition(k), shard=128) for k in (1, 3)]
+    (one, told), (other, _) = results
+    assert sorted(one.collect(), key=repr) == sorted(other.collect(), key=repr)
+    audits = told.collect()
+    assert len(audits) > 6 and all(min(a.own_recall, a.probe_recall) >= e.RECALL for a in audits)
+    assert any(a.beam > 0 for a in audits) and sum(a.own_queries for a in audits) > 0
+
+
+def test_links_within_and_across_shards_are_those_of_the_vectors():
+    """Dense groups, larger than a beam, next to pairs and single vectors."""
+    r = np.random.default_rng(8)
+    v = unit(np.concatenate((r.normal(size=(1, 24)) + 0.05 * r.normal(size=(200, 24)), np.repeat(r.normal(size=(150, 24)), 2, axis=0) + 0.03 * r.normal(size=(300, 24)), r.normal(size=(100, 24)))))
+    true = v @ v.T >= 0.93
+    np.fill_diagonal(true, False)
+    counts, edges, audit = e._within(e.Graph(v), v, 0.93, 0.99)
+    assert audit.own >= e.AUDIT and (counts <= true.sum(axis=1)).all() and counts.sum() >= 0.99 * true.sum()
+    assert len(edges) == 199 + 150
+    a, b = v[::2], v[1::2]
+    mine, theirs, edges, _ = e._across(e.Graph(b), b, a, 0.93, 0.99)
+    assert mine.sum() == theirs.sum() >= 0.99 * (a @ b.T >= 0.93).sum() and len(edges) == 199 + 150
