@@ -7,11 +7,14 @@ bytes, and neighbours that agree to that depth repeat.
 Buckets.  The least of the hashed 16-byte strings within a 400-byte string (its anchor)
 depends on that string alone, so equal strings have equal anchors at equal offsets.
 Consecutive starts with one anchor are a run.  Runs whose anchor is alone in the corpus
-hold no repeats.  Equal runs are one class with their number as its weight.  Classes are
-cut into slabs of starts aligned to the anchor, and a slab's bucket is the string that all
-its 400-byte strings share.  A bucket of more than ``LARGEST`` slabs is cut into narrower
-slabs with longer shared strings; what is large even then has each of its 400-byte strings
-counted by digest.
+hold no repeats.  Equal runs, by a 128-bit digest of their bytes, are one class with their
+number as its weight: a compression of copies, so that a thousand of them are sorted once.
+Classes are cut into slabs of starts aligned to the anchor, and a slab's bucket is the
+string that all its 400-byte strings share.  A bucket of more than ``LARGEST`` slabs is cut
+into narrower slabs with longer shared strings; what is large even then is dealt to
+sub-blocks of ``LARGEST`` slabs.  Each is sorted as any block, one start a distinct string
+stands for it, and the standing ones are bucketed by their whole string and sorted again: a
+string has at most one of them a sub-block, however many slabs hold it.
 
 Sorting.  Positions of a block whose residue modulo 31 lies in a difference cover are
 ranked by their first 341 bytes, by doubling.  Suffixes are sorted by bucket and first 31
@@ -20,8 +23,10 @@ sampled, their ranks decide, and the bytes from 336 to 400 after them.  So ties
 length cost no more than short ones, and memory is that of one block.
 
 Defined results: a null text is an empty one; texts of fewer than 400 bytes lose nothing;
-repeated rows repeat all their strings; rows with a null id are treated as any; an empty
-table gives no rows.
+repeated rows repeat all their strings; rows with a null id are treated as any; whole texts
+are treated, however long, and the runs of a text that are equal are one row; strings that
+tie are all removed, whatever their order; columns other than the two named are not read; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,6 +46,10 @@ GRAM = 16
 SLABS = (128, 16)
 LARGEST = 4096
 BLOCK = 1 << 20
+#: At most so many keys are hot, each in so many rows at least; their rows are joined
+#: without a shuffle, as one task would get all rows of a key.
+MOST_HOT = 10_000
+LEAST_HOT = 500
 
 #: A perfect difference cover: each residue is the difference of exactly one pair.
 PERIOD = 31
@@ -108,7 +117,8 @@ def anchored_runs(buf: np.ndarray, offsets: np.ndarray):
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """``h, d, start, n, off, k1, k2``: the runs of all rows; (h, d) is a run's class."""
+    """``h, d, starts, n, off, k1, k2``: the runs of all rows; (h, d) is a run's class, and
+    a row's runs of one class are together."""
 
     def cut(batches):
         for batch in batches:
@@ -119,12 +129,25 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                 row, start, n, off, h, place = anchored_runs(part, offsets[a : b + 1] - offsets[a])
                 raw = memoryview(part.tobytes())
                 digests = [hashlib.blake2b(raw[p : p + m + LENGTH - 1], digest_size=16).digest() for p, m in zip(place.tolist(), n.tolist(), strict=True)]
+                key = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+                order = np.lexsort((start, key[:, 1], key[:, 0], row))
+                same = (row[order][1:] == row[order][:-1]) & (key[order][1:] == key[order][:-1]).all(axis=1)
+                head = np.flatnonzero(np.append([True], ~same)) if len(order) else order
+                one = order[head]
+                starts = pa.ListArray.from_arrays(pa.array(np.append(head, len(order)).astype(np.int32)), pa.array(start[order].astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(digests, pa.binary()), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(k1[a + row]), pa.array(k2[a + row])],
-                    names=["h", "d", "start", "n", "off", "k1", "k2"],
+                    [pa.array(h[one]), pa.array([digests[i] for i in one.tolist()], pa.binary()), starts, pa.array(n[one].astype(np.int32)), pa.array(off[one].astype(np.int32)), pa.array(k1[a + row[one]]), pa.array(k2[a + row[one]])],
+                    names=["h", "d", "starts", "n", "off", "k1", "k2"],
                 )
 
-    return docs.select("k1", "k2", "t").mapInArrow(cut, "h long, d binary, start int, n int, off int, k1 long, k2 long")
+    return docs.select("k1", "k2", "t").mapInArrow(cut, "h long, d binary, starts array<int>, n int, off int, k1 long, k2 long")
+
+
+def _hot(counts: DataFrame, keys: list[str], n: str, keep: Scratch, label: str) -> DataFrame:
+    """Keys with more than 1 / ``MOST_HOT`` of all rows, and at least ``LEAST_HOT``: few
+    enough to broadcast by their definition."""
+    total = counts.agg(F.coalesce(F.sum(n), F.lit(0)).alias("total")).first()["total"]
+    return keep.settle(counts.where(F.col(n) > max(LEAST_HOT, total // MOST_HOT)).select(*keys), label)
 
 
 # --- slabs -----------------------------------------------------------------------
@@ -211,9 +234,9 @@ def _sample_ranks(text: np.ndarray, word: np.ndarray) -> np.ndarray:
     return ranks
 
 
-def repeated_starts(members: list[tuple]) -> np.ndarray:
-    """``members``: (bucket, starts, weight, bytes).  For all starts in a row: whether the
-    400 bytes from there have a total weight of two or more within the bucket."""
+def string_classes(members: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """``members``: (bucket, starts, weight, bytes).  For all starts in a row: the rank of
+    the 400 bytes from there among those of the bucket, and their total weight."""
     sizes = np.array([len(m[3]) for m in members])
     counts = np.array([m[1] for m in members])
     base = np.concatenate(([0], np.cumsum(sizes)[:-1]))
@@ -258,75 +281,102 @@ def repeated_starts(members: list[tuple]) -> np.ndarray:
     equal = (head[order[:-1]] == head[order[1:]]) & (ranks[i + d] == ranks[j + d])
     for t in TAIL:
         equal &= word[i + t] == word[j + t]
-    cls = np.concatenate(([0], np.cumsum(~equal)))
-    out = np.empty(len(order), bool)
-    out[order] = np.bincount(cls, weight[order])[cls] >= 2
-    return out
-
+    ranked = np.concatenate(([0], np.cumsum(~equal)))
+    classes, totals = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    classes[order], totals[order] = ranked, np.bincount(ranked, weight[order]).astype(np.int64)[ranked]
+    return classes, totals
 
-def _sort_buckets(slabs: DataFrame) -> DataFrame:
-    """``h, d, first, n``: ranges of repeated starts, from blocks of whole buckets."""
 
-    def search(batches):
-        members: list[tuple] = []
-        names: list[tuple] = []
-        seen: set = set()
-        size = 0
-
-        def flush():
-            flags = repeated_starts(members)
-            out, p = [], 0
-            for (h, d, first), m in zip(names, members, strict=True):
-                own = flags[p : p + m[1]]
-                p += m[1]
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0])))).tolist()
-                out += [(h, d, first + x, y - x) for x, y in zip(edges[::2], edges[1::2], strict=True)]
-            columns = zip(*out, strict=True) if out else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["h", "d", "first", "n"])
+def repeated_starts(members: list[tuple]) -> np.ndarray:
+    """For all starts in a row: whether their strings have a total weight of two or more."""
+    return string_classes(members)[1] >= 2
+
+
+def _ranges(names: list[tuple], members: list[tuple], flags: np.ndarray) -> list[tuple]:
+    """(h, d, first, n) of the flagged starts."""
+    out, p = [], 0
+    for (h, d, first), m in zip(names, members, strict=True):
+        own = flags[p : p + m[1]]
+        p += m[1]
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0])))).tolist()
+        out += [(h, d, first + x, y - x) for x, y in zip(edges[::2], edges[1::2], strict=True)]
+    return out
 
-        last = None
-        for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("bucket", "h", "d", "first", "n", "w", "bytes")), strict=True):
-                if r[0] != last:
-                    if size > BLOCK:
-                        yield flush()
-                        members, names, size = [], [], 0
-                    last, seen = r[0], set()
-                if r[1:4] not in seen:  # repeated rows bring the same class twice
-                    seen.add(r[1:4])
-                    members.append((r[0], r[4], r[5], r[6]))
-                    names.append(r[1:4])
-                    size += len(r[6])
-        if members:
-            yield flush()
 
+def _blocks_of_buckets(batches):
+    """(names, members) of whole buckets, of about ``BLOCK`` bytes or one bucket."""
+    members, names, seen, size, last = [], [], set(), 0, None
+    for batch in batches:
+        for r in zip(*(batch.column(c).to_pylist() for c in ("bucket", "h", "d", "first", "n", "w", "bytes")), strict=True):
+            if r[0] != last:
+                if size > BLOCK:
+                    yield names, members
+                    members, names, size = [], [], 0
+                last, seen = r[0], set()
+            if r[1:4] not in seen:  # repeated rows bring the same class twice
+                seen.add(r[1:4])
+                members.append((r[0], r[4], r[5], r[6]))
+                names.append(r[1:4])
+                size += len(r[6])
+    if members:
+        yield names, members
+
+
+def _dealt(slabs: DataFrame) -> DataFrame:
     n = int(slabs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return slabs.drop("off").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(search, "h long, d binary, first int, n int")
+    return slabs.drop("off").repartition(n, "bucket").sortWithinPartitions("bucket")
 
 
-def _count_strings(slabs: DataFrame) -> DataFrame:
-    """The same for buckets that no task should hold: each string by its digest."""
+def _sort_buckets(slabs: DataFrame) -> DataFrame:
+    """``h, d, first, n``: ranges of repeated starts, from blocks of whole buckets."""
 
-    def cut(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                digests = [hashlib.blake2b(r["bytes"][t : t + LENGTH], digest_size=16).digest() for t in range(r["n"])]
-                k = r["n"]
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([r["h"]] * k, pa.int64()), pa.array([r["d"]] * k, pa.binary()), pa.array(range(r["first"], r["first"] + k), pa.int32()), pa.array([r["w"]] * k, pa.int64())], names=["s", "h", "d", "first", "w"])
+    def search(batches):
+        for names, members in _blocks_of_buckets(batches):
+            out = _ranges(names, members, repeated_starts(members))
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["h", "d", "first", "n"])
+
+    return _dealt(slabs).mapInArrow(search, "h long, d binary, first int, n int")
+
+
+def _sort_in_parts(slabs: DataFrame, sizes: DataFrame, keep: Scratch) -> DataFrame:
+    """The same for buckets that no task should hold, in sub-blocks of about ``LARGEST``
+    slabs; ``sizes``: ``bucket, m``, the large buckets."""
+    part = F.pmod(F.xxhash64(F.lit(3), "h", "d", "first"), F.ceil(F.col("m") / LARGEST))
+    parts = slabs.join(sizes, "bucket").withColumn("bucket", F.xxhash64("bucket", part)).drop("m")
+
+    def stand(batches):
+        for names, members in _blocks_of_buckets(batches):
+            classes, totals = string_classes(members)
+            rows = [(None, h, d, first, n, 0, 0, None) for h, d, first, n in _ranges(names, members, totals >= 2)]
+            _, one = np.unique(classes, return_index=True)
+            counts = np.array([m[1] for m in members])
+            owner, base = np.repeat(np.arange(len(members)), counts), np.cumsum(counts) - counts
+            for i in one.tolist():
+                (h, d, first), (_, _, _, data) = names[owner[i]], members[owner[i]]
+                t = i - int(base[owner[i]])
+                string = data[t : t + LENGTH]
+                key = int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little", signed=True)
+                rows.append((key, h, d, first + t, 1, 0, min(int(totals[i]), 2), string))
+                if len(rows) > 4000:
+                    yield _slab_batch(rows)
+                    rows = []
+            yield _slab_batch(rows)
 
-    strings = slabs.mapInArrow(cut, "s binary, h long, d binary, first int, w long").distinct()
-    twice = strings.groupBy("s").agg(F.sum("w").alias("total")).where("total > 1").select("s")
-    return strings.join(twice, "s").select("h", "d", "first", F.lit(1).alias("n"))
+    # Sub-blocks of one bucket may share a block: their strings then have one stand-in each.
+    found = keep.settle(_dealt(parts).mapInArrow(stand, SLAB), "standing")
+    ranges = found.where("bytes is null").select("h", "d", "first", "n")
+    return ranges.unionByName(_sort_buckets(found.where("bytes is not null")))
 
 
 def _repeats(slabs: DataFrame, keep: Scratch, level: int = 0) -> DataFrame:
-    large = keep.settle(slabs.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > LARGEST).select("bucket"), f"large-{level}")
+    large = keep.settle(slabs.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > LARGEST), f"large-{level}")
     if large.isEmpty():
         return _sort_buckets(slabs)
     small = _sort_buckets(slabs.join(large, "bucket", "left_anti"))
     hot = slabs.join(large, "bucket", "left_semi")
     if level + 1 == len(SLABS):
-        return small.unionByName(_count_strings(hot))
+        return small.unionByName(_sort_in_parts(hot, large, keep))
     narrow = keep.settle(_narrow(hot, SLABS[level + 1]), f"slabs-{level + 1}")
     return small.unionByName(_repeats(narrow, keep, level + 1))
 
@@ -338,20 +388,29 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     # A row is known by its id and its text's hash; rows alike in both are alike in all.
     rows = rows.select("doc_id", "t", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64("t").alias("k2"))
     occurrences = keep.settle(_occurrences(rows), "runs")
-    anchors = occurrences.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
-    live = keep.settle(occurrences.join(anchors, "h", "left_semi"), "live")
-    keep.drop("runs")
-    classes = live.groupBy("h", "d").agg(F.count("*").alias("w"), F.min(F.struct("k1", "k2", "start", "n", "off")).alias("at"))
+    anchors = keep.settle(occurrences.groupBy("h").agg(F.sum(F.size("starts")).alias("m"), F.count("*").alias("runs")).where("m > 1"), "anchors")
+    hot = F.broadcast(_hot(anchors, ["h"], "runs", keep, "hot-anchors"))
+    live = occurrences.join(hot, "h", "left_semi").unionByName(occurrences.join(hot, "h", "left_anti").join(anchors.select("h"), "h", "left_semi"))
+    live = keep.settle(live, "live")
+    keep.drop("runs", "anchors", "hot-anchors")
+    classes = live.groupBy("h", "d").agg(F.sum(F.size("starts")).alias("w"), F.count("*").alias("runs"), F.min(F.struct("k1", "k2", F.col("starts")[0].alias("start"), "n", "off")).alias("at"))
+    classes = keep.settle(classes, "classes")
     wanted = classes.groupBy(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2")).agg(
         F.collect_list(F.struct("h", "d", "w", F.col("at.start").alias("start"), F.col("at.n").alias("n"), F.col("at.off").alias("off"))).alias("runs")
     )
     slabs = keep.settle(_cut_texts(rows.select("k1", "k2", "t").join(wanted, ["k1", "k2"]).select("t", "runs")), "slabs")
     keep.sweep()
-    repeats = keep.settle(_repeats(slabs, keep), "repeats")
+    repeats = _repeats(slabs, keep).groupBy("h", "d").agg(F.collect_set(F.struct("first", "n")).alias("ranges"))
+    repeats = keep.settle(repeats, "repeats")
     keep.drop("slabs")
-    marks = live.select("h", "d", "start", "k1", "k2").join(repeats, ["h", "d"]).select("k1", "k2", (F.col("start") + F.col("first")).alias("x"), F.col("n").alias("m"))
+    hot = F.broadcast(_hot(classes, ["h", "d"], "runs", keep, "hot-classes"))
+    own = live.select("h", "d", "starts", "k1", "k2")
+    of_hot = F.broadcast(repeats.join(hot, ["h", "d"], "left_semi"))
+    marked = own.join(of_hot, ["h", "d"]).unionByName(own.join(hot, ["h", "d"], "left_anti").join(repeats.hint("merge"), ["h", "d"]))
+    marks = marked.select("k1", "k2", F.explode("starts").alias("start"), "ranges").select("k1", "k2", "start", F.explode("ranges").alias("r"))
+    marks = marks.select("k1", "k2", (F.col("start") + F.col("r.first")).alias("x"), F.col("r.n").alias("m"))
     marks = keep.settle(marks.distinct().groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("x", "m"))).alias("marks")), "marks")
-    keep.drop("live", "repeats")
+    keep.drop("live", "classes", "repeats", "hot-classes")
     keep.sweep()
 
     def cut(batches):

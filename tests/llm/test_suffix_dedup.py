@@ -41,9 +41,23 @@ def test_against_brute_force(spark):
     check(spark, corpus())
 
 
-def test_large_buckets_take_narrow_slabs_and_digests(spark, monkeypatch):
+def test_large_buckets_take_narrow_slabs_and_sub_blocks(spark, monkeypatch):
     monkeypatch.setattr(s, "LARGEST", 3)
+    parts, sort = [], s._sort_in_parts
+    monkeypatch.setattr(s, "_sort_in_parts", lambda slabs, sizes, keep: parts.append(sizes.agg({"m": "max"}).first()[0]) or sort(slabs, sizes, keep))
     check(spark, corpus(1))
+    assert max(parts) > 6  # several sub-blocks a bucket
+
+
+def test_hot_anchors_and_classes(spark, monkeypatch):
+    monkeypatch.setattr(s, "LEAST_HOT", 2)
+    check(spark, corpus(2))
+
+
+def test_equal_runs_of_a_text_are_one_row(spark):
+    rows = spark.createDataFrame([(1, 2, bytearray(b"x" * 90000))], "k1 long, k2 long, t binary")
+    runs = s._occurrences(rows).collect()
+    assert len(runs) < 10 and sum(len(r.starts) * r.n for r in runs) == 90000 - 399
 
 
 def test_rows_of_the_fixture(spark, docs, no_docs):
