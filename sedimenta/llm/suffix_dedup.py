@@ -130,8 +130,10 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                 raw = memoryview(part.tobytes())
                 digests = [hashlib.blake2b(raw[p : p + m + LENGTH - 1], digest_size=16).digest() for p, m in zip(place.tolist(), n.tolist(), strict=True)]
                 key = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
-                order = np.lexsort((start, key[:, 1], key[:, 0], row))
-                same = (row[order][1:] == row[order][:-1]) & (key[order][1:] == key[order][:-1]).all(axis=1)
+                order, same = np.arange(len(row)), np.zeros(max(0, len(row) - 1), bool)
+                if len(np.unique(mix(h.view(np.uint64)) + row.astype(np.uint64))) < len(row):
+                    order = np.lexsort((start, key[:, 1], key[:, 0], row))
+                    same = (row[order][1:] == row[order][:-1]) & (key[order][1:] == key[order][:-1]).all(axis=1)
                 head = np.flatnonzero(np.append([True], ~same)) if len(order) else order
                 one = order[head]
                 starts = pa.ListArray.from_arrays(pa.array(np.append(head, len(order)).astype(np.int32)), pa.array(start[order].astype(np.int32)))
@@ -348,25 +350,31 @@ def _sort_in_parts(slabs: DataFrame, sizes: DataFrame, keep: Scratch) -> DataFra
     def stand(batches):
         for names, members in _blocks_of_buckets(batches):
             classes, totals = string_classes(members)
-            rows = [(None, h, d, first, n, 0, 0, None) for h, d, first, n in _ranges(names, members, totals >= 2)]
+            rows = [(None, h, d, first, 0, n, 0) for h, d, first, n in _ranges(names, members, totals >= 2)]
             _, one = np.unique(classes, return_index=True)
             counts = np.array([m[1] for m in members])
             owner, base = np.repeat(np.arange(len(members)), counts), np.cumsum(counts) - counts
-            for i in one.tolist():
-                (h, d, first), (_, _, _, data) = names[owner[i]], members[owner[i]]
-                t = i - int(base[owner[i]])
-                string = data[t : t + LENGTH]
-                key = int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little", signed=True)
-                rows.append((key, h, d, first + t, 1, 0, min(int(totals[i]), 2), string))
-                if len(rows) > 4000:
-                    yield _slab_batch(rows)
-                    rows = []
+            for i, k in zip(one.tolist(), owner[one].tolist(), strict=True):
+                t = i - int(base[k])
+                key = hashlib.blake2b(members[k][3][t : t + LENGTH], digest_size=8).digest()
+                rows.append((int.from_bytes(key, "little", signed=True), *names[k], t, 0, min(int(totals[i]), 2)))
+            columns = zip(*rows, strict=True) if rows else [[]] * 7
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "h", "d", "first", "t", "n", "w"])
+
+    found = keep.settle(_dealt(parts).mapInArrow(stand, "bucket long, h long, d binary, first int, t int, n int, w long"), "standing")
+    # Only strings that stand in several sub-blocks are looked at again, with their bytes.
+    standing = found.where("bucket is not null")
+    again = standing.join(standing.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket"), "bucket", "left_semi")
+    again = again.groupBy("h", "d", "first").agg(F.collect_list(F.struct("bucket", "t", "w")).alias("strings"))
+
+    def cut(batches):
+        for batch in batches:
+            rows = [(x["bucket"], r["h"], r["d"], r["first"] + x["t"], 1, 0, x["w"], r["bytes"][x["t"] : x["t"] + LENGTH]) for r in batch.to_pylist() for x in r["strings"]]
             yield _slab_batch(rows)
 
-    # Sub-blocks of one bucket may share a block: their strings then have one stand-in each.
-    found = keep.settle(_dealt(parts).mapInArrow(stand, SLAB), "standing")
-    ranges = found.where("bytes is null").select("h", "d", "first", "n")
-    return ranges.unionByName(_sort_buckets(found.where("bytes is not null")))
+    strings = slabs.select("h", "d", "first", "bytes").join(again, ["h", "d", "first"]).mapInArrow(cut, SLAB)
+    return found.where("bucket is null").select("h", "d", "first", "n").unionByName(_sort_buckets(strings))
 
 
 def _repeats(slabs: DataFrame, keep: Scratch, level: int = 0) -> DataFrame:
@@ -393,8 +401,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     live = occurrences.join(hot, "h", "left_semi").unionByName(occurrences.join(hot, "h", "left_anti").join(anchors.select("h"), "h", "left_semi"))
     live = keep.settle(live, "live")
     keep.drop("runs", "anchors", "hot-anchors")
+    keep.sweep()
     classes = live.groupBy("h", "d").agg(F.sum(F.size("starts")).alias("w"), F.count("*").alias("runs"), F.min(F.struct("k1", "k2", F.col("starts")[0].alias("start"), "n", "off")).alias("at"))
     classes = keep.settle(classes, "classes")
+    keep.sweep()
     wanted = classes.groupBy(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2")).agg(
         F.collect_list(F.struct("h", "d", "w", F.col("at.start").alias("start"), F.col("at.n").alias("n"), F.col("at.off").alias("off"))).alias("runs")
     )
