@@ -379,6 +379,7 @@ def _sort_in_parts(slabs: DataFrame, sizes: DataFrame, keep: Scratch) -> DataFra
 
 def _repeats(slabs: DataFrame, keep: Scratch, level: int = 0) -> DataFrame:
     large = keep.settle(slabs.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > LARGEST), f"large-{level}")
+    keep.sweep()  # the texts' shuffle goes once a later job has run
     if large.isEmpty():
         return _sort_buckets(slabs)
     small = _sort_buckets(slabs.join(large, "bucket", "left_anti"))
