@@ -3,6 +3,7 @@ text buffers and vectorised word hashing over raw UTF-8 bytes."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles, unless one document is longer.
 BLOCK_BYTES = 2 << 20
@@ -18,10 +20,13 @@ _OWN_ROOT: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a
-    folder of our own only where that setting is absent (local tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of
+    our own where that setting is absent and driver and executors are one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a shared folder: the master is {master!r}")
         if not _OWN_ROOT:
             _OWN_ROOT.append("file://" + tempfile.mkdtemp(prefix="sedimenta-"))
         root = _OWN_ROOT[0]
@@ -41,6 +46,28 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys in more than 1 / MOST_HOT of all rows and in LEAST_HOT rows are hot: at most MOST_HOT
+#: keys, by definition few enough to broadcast.
+MOST_HOT = 10_000
+LEAST_HOT = 10_000
+
+
+def hot_keys(counts: DataFrame, keys: list[str], n: str, least: int = LEAST_HOT) -> DataFrame | None:
+    """The hot ones among ``counts(keys, n)``, a written table; None where there are none."""
+    total = counts.agg(F.coalesce(F.sum(n), F.lit(0)).alias("total")).first()["total"]
+    hot = counts.where(F.col(n) > max(least, total // MOST_HOT)).select(*keys)
+    return None if hot.isEmpty() else hot
+
+
+def join_hot(rows: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``rows`` with ``one`` (a row a key) by ``keys``; rows of hot keys stay where they are,
+    as one task would get all rows of a key."""
+    if hot is None:
+        return rows.join(one, keys, how)
+    few = F.broadcast(one.join(F.broadcast(hot), keys, "left_semi"))
+    return rows.join(few, keys, "inner").unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(one, keys, how))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

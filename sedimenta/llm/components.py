@@ -3,15 +3,16 @@
 In each round every node moves to the node of lowest random priority within two steps;
 the moved-to nodes carry on with the edges between them.  A star collapses in one round
 and a path by a constant factor, so rounds grow with the logarithm of the longest path.
-Aggregates are minima (combined before the shuffle), so a node with very many edges is
-no hot task, and nothing reaches the driver but whether edges remain."""
+Aggregates are minima (combined before the shuffle), and edges of nodes that have very
+many of them are joined to what is known of these few nodes without a shuffle, so a hub is
+no hot task.  Nothing reaches the driver but sums and whether edges remain."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import LEAST_HOT, hot_keys, join_hot, settle
 
 
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -27,10 +28,14 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     while not live.isEmpty():
         priority = lambda c: F.struct(F.xxhash64(F.lit(round_), c).alias("p"), c.alias("n"))  # noqa: B023, E731
         both = live.select("a", "b").unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        one = both.groupBy("a").agg(F.min(priority(F.col("b"))).alias("m")).select("a", F.least("m", priority(F.col("a"))).alias("m"))
-        reach = both.join(one.select(F.col("a").alias("b"), "m"), "b")
+        one = both.groupBy("a").agg(F.min(priority(F.col("b"))).alias("m"), F.count("*").alias("edges"))
+        one = settle(one.select("a", F.least("m", priority(F.col("a"))).alias("m"), "edges"), f"{label}-nodes")
+        hubs = hot_keys(one, ["a"], "edges", LEAST_HOT)
+        named = lambda c: None if hubs is None else hubs.select(F.col("a").alias(c))  # noqa: B023, E731
+        reach = join_hot(both, one.select(F.col("a").alias("b"), "m"), ["b"], named("b"))
         moved = settle(reach.groupBy("a").agg(F.min("m").alias("m")).join(one.select("a", F.col("m").alias("own")), "a").select(F.col("a").alias("node"), F.least("m", "own")["n"].alias("to")), f"{label}-moves")
-        ends = live.join(moved.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(moved.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+        ends = join_hot(live, moved.select(F.col("node").alias("a"), F.col("to").alias("x")), ["a"], named("a"))
+        ends = join_hot(ends, moved.select(F.col("node").alias("b"), F.col("to").alias("y")), ["b"], named("b"))
         places = settle(places.join(moved, "node", "left").select("id", F.coalesce("to", "node").alias("node")), f"{label}-places")
         live = settle(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{label}-edges")
         round_ += 1

@@ -39,16 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, mix, text_buffer
+from .common import Scratch, blocks, hot_keys, join_hot, mix, text_buffer
 
 LENGTH = 400
 GRAM = 16
 SLABS = (128, 16)
 LARGEST = 4096
 BLOCK = 1 << 20
-#: At most so many keys are hot, each in so many rows at least; their rows are joined
-#: without a shuffle, as one task would get all rows of a key.
-MOST_HOT = 10_000
+#: Runs from which an anchor or a class may be hot.
 LEAST_HOT = 500
 
 #: A perfect difference cover: each residue is the difference of exactly one pair.
@@ -145,13 +143,6 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return docs.select("k1", "k2", "t").mapInArrow(cut, "h long, d binary, starts array<int>, n int, off int, k1 long, k2 long")
 
 
-def _hot(counts: DataFrame, keys: list[str], n: str, keep: Scratch, label: str) -> DataFrame:
-    """Keys with more than 1 / ``MOST_HOT`` of all rows, and at least ``LEAST_HOT``: few
-    enough to broadcast by their definition."""
-    total = counts.agg(F.coalesce(F.sum(n), F.lit(0)).alias("total")).first()["total"]
-    return keep.settle(counts.where(F.col(n) > max(LEAST_HOT, total // MOST_HOT)).select(*keys), label)
-
-
 # --- slabs -----------------------------------------------------------------------
 
 SLAB = "bucket long, h long, d binary, first int, n int, off int, w long, bytes binary"
@@ -398,10 +389,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = rows.select("doc_id", "t", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64("t").alias("k2"))
     occurrences = keep.settle(_occurrences(rows), "runs")
     anchors = keep.settle(occurrences.groupBy("h").agg(F.sum(F.size("starts")).alias("m"), F.count("*").alias("runs")).where("m > 1"), "anchors")
-    hot = F.broadcast(_hot(anchors, ["h"], "runs", keep, "hot-anchors"))
-    live = occurrences.join(hot, "h", "left_semi").unionByName(occurrences.join(hot, "h", "left_anti").join(anchors.select("h"), "h", "left_semi"))
-    live = keep.settle(live, "live")
-    keep.drop("runs", "anchors", "hot-anchors")
+    live = keep.settle(join_hot(occurrences, anchors.select("h"), ["h"], hot_keys(anchors, ["h"], "runs", LEAST_HOT)), "live")
+    keep.drop("runs", "anchors")
     keep.sweep()
     classes = live.groupBy("h", "d").agg(F.sum(F.size("starts")).alias("w"), F.count("*").alias("runs"), F.min(F.struct("k1", "k2", F.col("starts")[0].alias("start"), "n", "off")).alias("at"))
     classes = keep.settle(classes, "classes")
@@ -414,14 +403,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     repeats = _repeats(slabs, keep).groupBy("h", "d").agg(F.collect_set(F.struct("first", "n")).alias("ranges"))
     repeats = keep.settle(repeats, "repeats")
     keep.drop("slabs")
-    hot = F.broadcast(_hot(classes, ["h", "d"], "runs", keep, "hot-classes"))
-    own = live.select("h", "d", "starts", "k1", "k2")
-    of_hot = F.broadcast(repeats.join(hot, ["h", "d"], "left_semi"))
-    marked = own.join(of_hot, ["h", "d"]).unionByName(own.join(hot, ["h", "d"], "left_anti").join(repeats.hint("merge"), ["h", "d"]))
+    hot = hot_keys(classes, ["h", "d"], "runs", LEAST_HOT)
+    marked = join_hot(live.select("h", "d", "starts", "k1", "k2"), repeats, ["h", "d"], hot)
     marks = marked.select("k1", "k2", F.explode("starts").alias("start"), "ranges").select("k1", "k2", "start", F.explode("ranges").alias("r"))
     marks = marks.select("k1", "k2", (F.col("start") + F.col("r.first")).alias("x"), F.col("r.n").alias("m"))
     marks = keep.settle(marks.distinct().groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("x", "m"))).alias("marks")), "marks")
-    keep.drop("live", "classes", "repeats", "hot-classes")
+    keep.drop("live", "classes", "repeats")
     keep.sweep()
 
     def cut(batches):

@@ -5,17 +5,20 @@ largest ``page_id``; the others of at least ``least_revisit`` bytes become revis
 task writes one archive of gzip members, a record each, and one run of its index, sorted
 by (URL key, timestamp, page id).
 
-Merging.  Samples of the runs' keys cut the key space into ranges.  A task merges one range
-of all runs with a loser tree, reading every run a block at a time from its first key of
-the range, so memory is bounded by the number of runs; a URL with very many captures is
-cut between captures.  Ranges in order are the global capture histories.
+Merging.  While there are more than ``FAN_IN`` runs, tasks merge ``FAN_IN`` of them each to
+one longer run.  Samples of the last runs' keys cut the key space into ranges.  A task merges
+one range of all these runs with a loser tree, reading every run a block at a time from its
+first key of the range, so memory and opened files are bounded; a URL with very many
+captures is cut between captures.  Ranges in order are the global capture histories.
 
 Reading.  Entries of the merged index are followed to their records, which are parsed and
 whose payloads are checked against their digests.
 
 Defined results: a null html is an empty payload; a null url has the empty key; a null
 page id sorts first and is kept; repeated rows are captures of their own, and of equal
-payloads and page ids one row is the response; an empty table writes no archives.
+payloads and page ids one row is the response; captures that tie in key and time are in the
+order of their page ids; payloads are kept whole, however long; columns other than page_id,
+url and html are not read; an empty table writes no archives.
 """
 
 from __future__ import annotations
@@ -27,18 +30,23 @@ import json
 import re
 import struct
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, shared_dir
+from .common import hot_keys, join_hot, settle, shared_dir
 from .files import new_file, read_file
 
 EPOCH = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
 RUN_BLOCK = 256
 SAMPLES = 16
+#: Runs that one task merges at a time; more are merged in rounds.
+FAN_IN = 64
+#: Pages from which a payload may be hot.
+LEAST_HOT = 500
 
 
 def url_key(url: str | None) -> str:
@@ -92,16 +100,23 @@ def parse(data: bytes) -> dict:
 def write_run(stream, entries: list[list]) -> list[list]:
     """Write sorted entries ``[key, time, page, file, offset, size]``; returns sampled keys."""
     entries.sort(key=_key)
+    return write_sorted(stream, iter(entries))
+
+
+def write_sorted(stream, entries) -> list[list]:
+    """The same for an iterator of entries in order, a block in memory at a time."""
     directory, at = [], 0
-    for i in range(0, len(entries), RUN_BLOCK):
-        data = zlib.compress("\n".join(json.dumps(e) for e in entries[i : i + RUN_BLOCK]).encode(), 1)
-        directory.append([at, len(data), entries[i][:3]])
+    while block := list(islice(entries, RUN_BLOCK)):
+        data = zlib.compress("\n".join(json.dumps(e) for e in block).encode(), 1)
+        directory.append([at, len(data), block[0][:3]])
         stream.write(data)
-        at += len(data)
+        at, last = at + len(data), block
     tail = json.dumps(directory).encode()
     stream.write(tail + struct.pack("<I", len(tail)))
-    picks = np.unique(np.linspace(0, len(entries) - 1, min(SAMPLES, len(entries))).astype(int)) if entries else []
-    return [entries[i][:3] for i in picks]
+    if len(directory) < SAMPLES:
+        firsts = [d[2] for d in directory] + ([e[:3] for e in last[1:: max(1, RUN_BLOCK // SAMPLES)]] if directory else [])
+        return firsts[: 2 * SAMPLES]
+    return [directory[i][2] for i in np.unique(np.linspace(0, len(directory) - 1, SAMPLES).astype(int)).tolist()]
 
 
 def _key(e) -> tuple:
@@ -164,8 +179,10 @@ def write_archives(pages: DataFrame, *, least_revisit: int = 0) -> tuple[DataFra
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1("html"))
     best = rows.groupBy("sha").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "url")).alias("best")).where("n > 1")
-    best = settle(best.select(F.col("sha").alias("s"), F.col("best.page_id").alias("keeper"), F.col("best.url").alias("keeper_url")), "warc-keepers")
-    dealt = rows.join(best, rows.sha == best.s, "left").select("page_id", "url", "html", "keeper", "keeper_url", "s")
+    best = settle(best.select(F.col("sha").alias("s"), F.col("best.page_id").alias("keeper"), F.col("best.url").alias("keeper_url"), "n"), "warc-keepers")
+    # Pages of a payload that very many share, such as the empty one, stay where they are.
+    hot = hot_keys(best, ["s"], "n", LEAST_HOT)
+    dealt = join_hot(rows.withColumnRenamed("sha", "s"), best, ["s"], hot, "left").select("page_id", "url", "html", "keeper", "keeper_url", F.when(F.col("n").isNotNull(), F.col("s")).alias("s"))
     # of rows with the keeper's id and payload one is the response
     twins = dealt.where(F.col("page_id").eqNullSafe(F.col("keeper")) & F.col("s").isNotNull()).select("s").groupBy("s").count().where("count > 1").select(F.col("s").alias("twin"))
 
@@ -209,16 +226,39 @@ def ranges(manifest: DataFrame, parts: int) -> list[tuple]:
     return list(zip([None, *cuts], [*cuts, None], strict=True))
 
 
+def merge_rounds(manifest: DataFrame, folder: str, fan_in: int) -> DataFrame:
+    """``run, samples`` of at most ``fan_in`` runs that hold what those of the manifest hold:
+    in each round a task merges ``fan_in`` runs to one."""
+    spark = manifest.sparkSession
+    runs = manifest.select("run", "samples")
+    while (count := runs.count()) > fan_in:
+        names = sorted(r.run for r in runs.select("run").toLocalIterator())  # one short name an archive
+        groups = [(names[i : i + fan_in],) for i in range(0, count, fan_in)]
+        jobs = spark.createDataFrame(groups, "runs array<string>").repartition(len(groups))
+
+        def join(batches):
+            for batch in batches:
+                for own in batch.column("runs").to_pylist():
+                    stream, name = new_file(folder, "run", ".cdx")
+                    samples = write_sorted(stream, merge([read_run(folder, r, None, None) for r in own]))
+                    stream.close()
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([[json.dumps(s) for s in samples]])], names=["run", "samples"])
+
+        runs = settle(jobs.mapInArrow(join, "run string, samples array<string>"), "warc-runs")
+    return runs
+
+
 def capture_histories(manifest: DataFrame, folder: str) -> DataFrame:
     """``part, seq, url_key, time, page_id, file, offset, size``: in the order of (part,
     seq) the captures of all archives by URL key, timestamp and page id."""
     spark = manifest.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    manifest = merge_rounds(manifest, folder, FAN_IN)
     runs = [r.run for r in manifest.select("run").toLocalIterator()]
     encode = lambda k: None if k is None else json.dumps(list(k))
     cut = [(i, encode(a), encode(b)) for i, (a, b) in enumerate(ranges(manifest, parts))] if runs else []
     jobs = spark.createDataFrame(cut, "part int, low string, high string").repartition(max(1, len(cut)), "part")
-    names = spark.sparkContext.broadcast(runs)  # one short name an archive
+    names = spark.sparkContext.broadcast(runs)
 
     def follow(batches):
         decode = lambda s: None if s is None else tuple(json.loads(s))

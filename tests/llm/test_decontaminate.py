@@ -44,6 +44,9 @@ def test_clean_drops_and_cuts(spark, docs):
     kept = d.clean(docs, bench)
     assert kept.schema == docs.schema
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect() if not brute(r.text, rows)[4]}
+    few = {"max_broadcast_bytes": 5000}
+    assert sorted(map(repr, d.clean(docs, bench, **few).collect())) == sorted(map(repr, kept.collect()))
+    assert sorted(map(repr, d.clean(docs, bench, action="cut", **few).collect())) == sorted(map(repr, d.clean(docs, bench, action="cut").collect()))
     cut = {r.doc_id: r.text for r in d.clean(docs, bench, action="cut").collect()}
     assert all(not brute(t, rows)[4] for t in (cut[7], cut[8], cut[13])) and cut[13] == prose(4, 40) and cut[4] is None
 

@@ -84,3 +84,31 @@ def test_components(spark):
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(30)) and got[201] == 200
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    from sedimenta.llm import common
+    from sedimenta.llm.components import connected_components
+
+    edges = [(0, i) for i in range(1, 60)] + [(100, i) for i in range(101, 140)] + [(59, 100), (200, 201), (7, 7), (None, 3)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    want = {i: 0 for i in range(60)} | {i: 0 for i in range(100, 140)} | {200: 200, 201: 200}
+    for least in (common.LEAST_HOT, 5):
+        monkeypatch.setattr("sedimenta.llm.components.LEAST_HOT", least)
+        assert {r.id: r.component for r in connected_components(frame).collect()} == want
+
+
+def test_no_machine_local_folder_on_a_cluster(spark):
+    import pytest
+
+    from sedimenta.llm.common import shared_root
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError):
+        shared_root(Session())

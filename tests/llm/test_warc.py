@@ -48,6 +48,25 @@ def test_histories_are_in_order_and_payloads_come_back(spark):
     assert texts[200].decode() == data[-1][2]
 
 
+def test_runs_are_merged_in_rounds(spark, monkeypatch):
+    data = rows()
+    manifest, folder = w.write_archives(spark.createDataFrame(data, PAGE).repartition(3))
+    merged = w.merge_rounds(manifest, folder, 2)
+    assert manifest.count() == 3 and merged.count() == 2
+    names = [r.run for r in merged.collect()]
+    entries = [[k for k, _ in w.read_run(folder, n, None, None)] for n in names]
+    assert all(e == sorted(e) for e in entries) and sum(map(len, entries)) == len(data)
+    monkeypatch.setattr(w, "FAN_IN", 2)
+    keys = [(r.url_key, r.time) for r in w.capture_histories(manifest, folder).orderBy("part", "seq").collect()]
+    assert keys == sorted(keys) and len(keys) == len(data)
+
+
+def test_hot_payloads_stay_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(w, "LEAST_HOT", 3)
+    data = rows()
+    assert sorted((tuple(r) for r in w.archive_report(spark.createDataFrame(data, PAGE)).collect()), key=repr) == want(data)
+
+
 def test_loser_tree():
     r = random.Random(5)
     for k in (0, 1, 2, 3, 5, 8, 13):
