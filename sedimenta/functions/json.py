@@ -168,6 +168,8 @@ def apply_patch(value: Any, operations: list[dict]) -> Any:
                 raise Refused("a patch test fails")
         elif kind == "add":
             root = _add(root, tokens, json.loads(json.dumps(op["value"])))
+        elif kind == "remove" and not tokens and root is not ABSENT:
+            root = ABSENT  # an add may follow
         elif kind == "remove":
             _drop(root, tokens)
         elif kind == "replace":
@@ -191,6 +193,8 @@ def apply_patch(value: Any, operations: list[dict]) -> Any:
                 root = _add(root, tokens, moved)
             elif kind == "copy":
                 root = _add(root, tokens, moved)
+    if root is ABSENT:
+        raise Refused("a patch leaves no value")
     return root
 
 

@@ -215,14 +215,17 @@ def preview_counts(older: DataFrame, newer: DataFrame, key: str) -> DataFrame:
 
 def bounded_sample(rows: DataFrame, order: list[str], *, most_rows: int, most_bytes: int) -> list[dict]:
     """First rows while their canonical texts fit ``most_bytes``; a row too large for the
-    rest is skipped.  At most ``most_rows`` reach the driver."""
+    rest is skipped, however many such rows come first.  Rows stream to the driver in order, a
+    partition at a time, until the sample is full."""
     import json
 
     out, used = [], 0
-    for row in rows.orderBy(*order).limit(4 * most_rows).toLocalIterator():
+    for row in rows.orderBy(*order).toLocalIterator():
+        if len(out) == most_rows or used + 2 > most_bytes:  # no row's text is shorter
+            break
         value = row.asDict(recursive=True)
         size = len(json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), default=str).encode())
-        if len(out) < most_rows and used + size <= most_bytes:
+        if used + size <= most_bytes:
             out.append(value)
             used += size
     return out

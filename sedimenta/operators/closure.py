@@ -14,7 +14,7 @@ from .shared import settled
 def reachable(links: DataFrame, seeds: DataFrame) -> DataFrame:
     """``node, depth`` of all nodes that ``seeds(node)`` reach over ``links(source, target)``,
     seeds included at depth 0."""
-    pairs = links.select("source", "target").distinct()
+    pairs = settled(links.select("source", "target").distinct().repartition("source"), "links")  # once for all rounds
     seen = settled(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "closure")
     frontier, depth = seen, 0
     while not frontier.isEmpty():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,11 +12,14 @@ _OWN: list[str] = []
 
 
 def settled(df: DataFrame, label: str) -> DataFrame:
-    """A written table in the shared folder (``spark.checkpoint.dir``, or a temporary one
-    only where that is unset), read back."""
+    """A written table in the shared folder, read back: ``spark.checkpoint.dir``, or a
+    temporary folder where that is unset and driver and executors are one process."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a shared folder: the master is {master!r}")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="sedimenta-core-"))
         root = _OWN[0]

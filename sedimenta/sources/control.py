@@ -5,8 +5,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from ..errors import Refused, StaleBase
@@ -37,22 +39,40 @@ class Files:
             stream.close()
 
     def create(self, name: str, value: Any) -> bool:
-        """Writes a new file whole or not at all; False if the name is taken."""
-        data = json.dumps(value, sort_keys=True, ensure_ascii=False).encode()
+        """Writes a new file; False if the name is taken.  Of several writers one wins: on a
+        local file system by a hard link to a file written whole, elsewhere by a creation
+        that may not overwrite, which HDFS and object stores with conditional puts decide."""
+        data = bytearray(json.dumps(value, sort_keys=True, ensure_ascii=False).encode())
         fs, p = self._at(name)
         if fs.exists(p):
             return False
-        part = self._jvm.org.apache.hadoop.fs.Path(self.path(f"{name}.{hashlib.sha256(data).hexdigest()[:12]}.part"))
-        out = fs.create(part, True)
-        out.write(bytearray(data))
+        if fs.getScheme() == "file":
+            return self._link(fs, p, data)
+        try:
+            out = fs.create(p, False)
+        except Py4JJavaError as error:
+            if fs.exists(p):
+                return False
+            raise error
+        out.write(data)
+        out.close()
+        return True
+
+    def _link(self, fs, p, data: bytearray) -> bool:
+        part = self._jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{p.getName()}.{uuid.uuid4().hex}.part")
+        out = fs.create(part, False)
+        out.write(data)
         out.close()
+        local = lambda x: self._jvm.java.nio.file.Path.of(x.toUri().getPath(), self._jvm.java.lang.reflect.Array.newInstance(self._jvm.java.lang.Class.forName("java.lang.String"), 0))
         try:
-            if not fs.exists(p) and fs.rename(part, p):
-                return True
+            self._jvm.java.nio.file.Files.createLink(local(p), local(part))
+            return True
+        except Py4JJavaError as error:
+            if fs.exists(p):
+                return False
+            raise error
         finally:
-            if fs.exists(part):
-                fs.delete(part, False)
-        return False
+            fs.delete(part, False)
 
     def names(self, folder: str) -> list[str]:
         fs, p = self._at(folder)

@@ -227,3 +227,21 @@ def test_utf16_order_ranks_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = queries()["utf16_order"](spark, str(tmp_path)).orderBy("sort_key").collect()
     assert [r.doc_id for r in rows] == sorted(range(len(texts)), key=lambda i: texts[i].encode("utf-16-be"))
+
+
+def test_a_patch_may_remove_the_whole_value_and_add_another():
+    from sedimenta.functions.json import apply_patch
+
+    assert apply_patch({"a": 1}, [{"op": "remove", "path": ""}, {"op": "add", "path": "", "value": [2]}]) == [2]
+    for operations in ([{"op": "remove", "path": ""}], [{"op": "remove", "path": ""}, {"op": "remove", "path": ""}], [{"op": "remove", "path": ""}, {"op": "replace", "path": "", "value": 1}], [{"op": "remove", "path": ""}, {"op": "add", "path": "/a", "value": 1}]):
+        with pytest.raises(Refused):
+            apply_patch({"a": 1}, operations)
+
+
+def test_redaction_of_nested_values():
+    key = "sk-" + "a" * 24
+    value = {"a": [{"password": {"x": 1}}, key, "plain"], key: 1, "Api-Key": ["v"], "n": {"m": (1, key)}}
+    assert security.secret_paths(value) == sorted(["$.a[0].password", "$.a[1]", f"$.{key}", "$.Api-Key", "$.n.m[1]"])
+    gone = security.REDACTED
+    assert security.redact(value) == {"a": [{"password": gone}, gone, "plain"], gone: 1, "Api-Key": gone, "n": {"m": [1, gone]}}
+    assert security.redact(key) == gone and security.redact({}) == {} and security.secret_paths([]) == []

@@ -340,3 +340,24 @@ def test_records(spark, tmp_path):
     assert records.captured_files(spark, f"file://{path}").first()["size"] == 5
     got = records.fetch(spark.createDataFrame([("x://1",), ("y://1",)], "locator string"), {"x": lambda l, n: b"data"}).collect()
     assert [(bytes(r.content) if r.content else None, r.problem) for r in got] == [(b"data", None), (None, "no fetcher for y")]
+
+
+def test_one_of_many_writers_creates_a_file(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from sedimenta.sources.control import Files
+
+    files = Files(spark, f"file://{tmp_path}")
+    for name in ("a", "b/c", "d"):
+        with ThreadPoolExecutor(8) as pool:
+            won = list(pool.map(lambda i, name=name: files.create(name, {"by": i}), range(8)))
+        assert sum(won) == 1 and files.read(name) == {"by": won.index(True)}
+    assert files.names("") == ["a", "b", "d"] and files.names("b") == ["c"]
+
+
+def test_large_rows_before_the_sample_lose_no_others(spark):
+    from sedimenta.operators.catalog import bounded_sample
+
+    rows = spark.createDataFrame([(i, "x" * (1000 if i < 50 else 1)) for i in range(60)], "i long, t string")
+    assert [r["i"] for r in bounded_sample(rows, ["i"], most_rows=3, most_bytes=100)] == [50, 51, 52]
+    assert bounded_sample(rows, ["i"], most_rows=0, most_bytes=100) == []
