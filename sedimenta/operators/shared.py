@@ -6,15 +6,14 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 
 
-def settled(df: DataFrame, label: str) -> DataFrame:
-    """A written table in the shared folder, read back: ``spark.checkpoint.dir``, or a
-    temporary folder where that is unset and driver and executors are one process."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A fresh name in the shared folder: ``spark.checkpoint.dir``, or a temporary folder
+    where that is unset and driver and executors are one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.conf.get("spark.master", "")
@@ -23,6 +22,11 @@ def settled(df: DataFrame, label: str) -> DataFrame:
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="sedimenta-core-"))
         root = _OWN[0]
-    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """A written table in the shared folder, read back."""
+    path = shared_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -221,5 +221,38 @@ with g as (select substr(h, 1, 2) as g, sha256(string_agg(h, '' order by h)) as
 select sha256(string_agg(d, '' order by g)) as set_digest from g"""
 
 
+# --- layers, values and evidence ---------------------------------------------------------
+
+_EDITED = """select o_orderkey, o_custkey, case when o_orderkey % 10 = 0 then 'Z' else o_orderstatus end as o_orderstatus from orders where o_orderkey % 7 <> 0 or o_orderkey % 10 = 0
+union all select -o_orderkey, o_custkey, o_orderstatus from orders where o_orderkey % 50 = 1"""
+O["layer_pinned"] = "select o_orderkey, o_custkey, o_orderstatus from orders"
+O["layer_edited"] = O["layer_compacted"] = _EDITED
+O["layer_key_ranges"] = f"select * from ({_EDITED}) where o_orderkey between -200 and 100 or o_orderkey between 400 and 500"
+O["layer_lookup"] = "select p_partkey, p_brand, p_size from part where p_partkey in (select l_partkey from lineitem where l_quantity >= 49)"
+O["layer_append_new"] = "select c_custkey, case when c_custkey % 3 = 0 then -1 else c_nationkey end as c_nationkey from customer"
+O["encoded_layer_buckets"] = f"""select * from (select c_custkey::varchar as record_identity, ({_HEAD.format('c_custkey::varchar')} % 64)::int as bucket, to_json(c_name)::varchar as record_json, c_custkey from customer)
+where bucket in (6, 7) or bucket = 5 and c_custkey % 2 = 1""".replace("select * from (", "select record_identity, bucket, record_json from (", 1)
+O["keyed_values"] = "select c_custkey::varchar as member_key, 'e' || c_custkey as occurrence_id, case when c_custkey % 6 <> 0 then to_json(c_name)::varchar end as value from customer"
+O["conflicting_values"] = "select 'e' || c_custkey as occurrence_id, to_json(c_name)::varchar as value, to_json(lower(c_name))::varchar as other from customer where c_custkey % 9 = 0 and lower(c_name) <> c_name"
+O["unavailable_puts"] = """select 'e' || o_custkey as occurrence_id, o_orderkey::varchar as member_key from orders
+where o_orderkey % 4 <> 0 and not exists (select 1 from customer where c_custkey = o_custkey and (c_custkey % 3 = 0 or c_custkey % 5 = 0))"""
+O["minted_lookup"] = """select s_suppkey, sha256('{"s_name":' || to_json(s_name) || ',"s_nationkey":' || s_nationkey || ',"s_suppkey":' || s_suppkey || '}') as row_digest, 'first' as first_state from supplier where s_nationkey < 10"""
+O["joined_key_candidates"] = "select l_orderkey, l_linenumber, l_quantity from lineitem where l_orderkey in (1, 2, 7, 33) and l_linenumber in (1, 2, 3)"
+O["spelled_row_size"] = f"select round(avg(strlen({_NATION})), 6) as mean_bytes from nation"
+O["normalise_texts"] = """select doc_id, case when doc_id % 4 in (2, 3) and trim(source) <> '' then source end as value,
+case when doc_id % 4 = 0 or doc_id % 4 in (2, 3) and trim(source) = '' then 'unparseable' when doc_id % 4 in (2, 3) and source is not null then 'normalized' else 'absent' end as outcome from documents"""
+O["normalise_media_types"] = "select p_partkey, lower(trim(p_type)) as media_type from part"
+O["normalise_rins"] = "select o_orderkey, lpad((o_orderkey % 10000)::varchar, 4, '0') || case o_orderkey % 3 when 0 then '-AB12' when 2 then '-ZX0Y' end as rin from orders"
+O["part_topics"] = """select p_partkey, list_aggregate(list_transform(list_sort(list_distinct([p_type, p_brand])), lambda x: 'market:' || x || '=' || x), 'string_agg', '|') as topics from part"""
+O["redacted_turns"] = "select conv_id, turn, case when turn % 5 = 0 then '[redacted: secret-like content]' else text end as text from conversations"
+O["segment_identity"] = """select conv_id, turn::int as ordinal, 'sha256:' || sha256(text) as content_digest,
+sha256(concat_ws('|', 'turns', conv_id, turn, 0, strlen(text), 'sha256:' || sha256(text))) as name from conversations where text is not null"""
+O["unfaithful_segments"] = """select doc_id, upper(substring(text, 5, 12)) as text from documents
+where doc_id % 3 = 0 and length(text) >= 20 and strlen(text) = length(text) and upper(substring(text, 5, 12)) <> substring(text, 5, 12)"""
+O["page_segments"] = "select conv_id || '/' || turn as key, unnest(range(len(pages)))::int as ordinal, unnest(pages) as text from (select conv_id, turn, string_split(text, '. ') as pages from conversations)"
+O["whole_segments"] = "select page_id, 0 as ordinal, 0::bigint as start, strlen(html)::bigint as end, sha256(html) as digest from pages"
+O["split_segments"] = "select 'd' || doc_id || ':metadata' as k, lang as metadata, case when doc_id % 3 <> 0 then source end as content from documents"
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(O)

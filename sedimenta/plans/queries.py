@@ -11,6 +11,8 @@ from ..functions import json as J
 from ..functions import rows as R
 from ..functions import security, text
 from ..operators import catalog, census, closure, documents, guards, selections, states, tables
+from ..operators.shared import shared_folder
+from ..sources.layers import LayerStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -605,5 +607,206 @@ def set_digest(spark, sf_dir):
     return tables.set_digest(o, "h")
 
 
+# --- layers --------------------------------------------------------------------------
+
+
+def _order_layers(spark, sf_dir):
+    """A store with a layer of orders, and the layer after edits: every tenth order is put
+    again as Z, every seventh of the others removed, and one order in fifty is new."""
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    store = LayerStore(spark, shared_folder(spark, "layers"))
+    base = store.write(orders, kind="orders", key=["o_orderkey"])
+    again = orders.where("o_orderkey % 10 = 0").withColumn("o_orderstatus", F.lit("Z"))
+    new = orders.where("o_orderkey % 50 = 1").withColumn("o_orderkey", -F.col("o_orderkey"))
+    gone = orders.where("o_orderkey % 7 = 0 and o_orderkey % 10 <> 0").select("o_orderkey")
+    return store, base, store.apply(base, again.unionByName(new), gone)
+
+
+@query
+def layer_pinned(spark, sf_dir):
+    """A layer stays what it was when it is edited."""
+    store, base, _ = _order_layers(spark, sf_dir)
+    return store.relation(store.open(base.id))
+
+
+@query
+def layer_edited(spark, sf_dir):
+    store, _, edited = _order_layers(spark, sf_dir)
+    return store.relation(edited)
+
+
+@query
+def layer_compacted(spark, sf_dir):
+    store, _, edited = _order_layers(spark, sf_dir)
+    return store.relation(store.compact(edited))
+
+
+@query
+def layer_key_ranges(spark, sf_dir):
+    store, _, edited = _order_layers(spark, sf_dir)
+    return store.relation(edited, ranges=[(-200, 100), (400, 500)])
+
+
+@query
+def layer_lookup(spark, sf_dir):
+    """Rows of a layer for a table of wanted keys."""
+    store = LayerStore(spark, shared_folder(spark, "layers"))
+    parts = store.write(read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), kind="parts", key=["p_partkey"])
+    wanted = read(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey"))
+    return store.lookup(parts, wanted)
+
+
+@query
+def layer_append_new(spark, sf_dir):
+    """An append that leaves out keys the layer holds."""
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    store = LayerStore(spark, shared_folder(spark, "layers"))
+    base = store.write(c.where("c_custkey % 3 <> 0"), kind="customers", key=["c_custkey"])
+    return store.relation(store.append(base, c.withColumn("c_nationkey", F.lit(-1)), exclude_existing=True))
+
+
+@query
+def encoded_layer_buckets(spark, sf_dir):
+    """Encoded records of three buckets, the first of which is replaced without its even keys."""
+    c = read(spark, sf_dir, "customer")
+    records = c.select(F.col("c_custkey").cast("string").alias("record_identity"), F.col("c_custkey").cast("string").alias("partition_value"), J.json_string(F.col("c_name")).alias("record_json"))
+    store = LayerStore(spark, shared_folder(spark, "layers"))
+    base = store.write_encoded(records, kind="names", buckets=64)
+    kept = store.relation(base, buckets=[5]).where("cast(record_identity as long) % 2 = 1")
+    return store.relation(store.replace_buckets(base, kept, [5]), buckets=[5, 6, 7]).select("record_identity", "bucket", "record_json")
+
+
+# --- values and evidence -----------------------------------------------------------------
+
+
+def _entities(rows: DataFrame) -> DataFrame:
+    return rows.select(F.concat(F.lit("e"), F.col("c_custkey")).alias("occurrence_id"), J.json_string(F.col("c_name")).alias("value"))
+
+
+@query
+def keyed_values(spark, sf_dir):
+    """Members with the values of the entities that they name; some entities are missing."""
+    c = read(spark, sf_dir, "customer")
+    members = c.select(F.col("c_custkey").cast("string").alias("member_key"), F.concat(F.lit("e"), F.col("c_custkey")).alias("occurrence_id"))
+    return states.keyed_values(members, _entities(c.where("c_custkey % 6 <> 0")))
+
+
+@query
+def conflicting_values(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    newer = c.withColumn("c_name", F.when(F.col("c_custkey") % 9 == 0, F.lower("c_name")).otherwise(F.col("c_name")))
+    return states.conflicting_values(_entities(c), _entities(newer))
+
+
+@query
+def unavailable_puts(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    name = F.concat(F.lit("e"), F.col("o_custkey"))
+    edits = o.select(F.col("o_orderkey").cast("string").alias("member_key"), name.alias("occurrence_id"), F.when(F.col("o_orderkey") % 4 == 0, "remove").otherwise("put").alias("action"))
+    c = read(spark, sf_dir, "customer")
+    return states.unavailable_puts(edits, _entities(c.where("c_custkey % 3 = 0")), _entities(c.where("c_custkey % 5 = 0")))
+
+
+@query
+def minted_lookup(spark, sf_dir):
+    """Index rows of the occurrences that a generation wants."""
+    identity = tables.TableIdentity("market", "supplier", F.col("s_suppkey").cast("string"), ("s_suppkey", "s_name", "s_nationkey"))
+    rows = tables.checked_identities(read(spark, sf_dir, "supplier"), identity)
+    index = tables.append_occurrences(rows.limit(0).select("occurrence_hash", "member_key", "row_digest"), rows, "first")
+    wanted = rows.where("s_nationkey < 10").select("occurrence_hash")
+    return tables.lookup_occurrences(index, identity, wanted).select(F.col("member_key").cast("long").alias("s_suppkey"), "row_digest", "first_state")
+
+
+@query
+def joined_key_candidates(spark, sf_dir):
+    """Lines that could have one of the at-joined keys: pruned by column before any key is spelled."""
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return tables.key_pruned(li, ["l_orderkey", "l_linenumber"], ["1@1", "2@3", "7@2", "33@1"])
+
+
+@query
+def spelled_row_size(spark, sf_dir):
+    return tables.spelled_payload(read(spark, sf_dir, "nation"), ["n_nationkey", "n_name", "n_regionkey"]).select(F.round("mean_bytes", 6).alias("mean_bytes"))
+
+
+# --- normalisers and segments ---------------------------------------------------------------
+
+
+@query
+def normalise_texts(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    raw = F.when(F.col("doc_id") % 4 == 0, "  ").when(F.col("doc_id") % 4 != 1, F.col("source"))
+    value = text.text_value(raw)
+    return d.select("doc_id", value["value"].alias("value"), text.normalization_outcome(value["value"], value["unparseable"]).alias("outcome"))
+
+
+@query
+def normalise_media_types(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    return p.select("p_partkey", text.media_type(F.concat(F.lit(" "), F.col("p_type"), F.lit(" ; charset="), F.col("p_brand"))).alias("media_type"))
+
+
+@query
+def normalise_rins(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    spelled = F.concat(F.lpad(F.pmod("o_orderkey", F.lit(10000)).cast("string"), 4, "0"), F.lit("-"), F.when(F.col("o_orderkey") % 3 == 0, "ab12").when(F.col("o_orderkey") % 3 == 1, " AZ99").otherwise("Zx0y "))
+    return o.select("o_orderkey", text.rin(spelled).alias("rin"))
+
+
+@query
+def part_topics(spark, sf_dir):
+    """Distinct topics of a brand's parts, from arrays with blanks and repeats."""
+    p = read(spark, sf_dir, "part")
+    topics = text.observed_topics(F.array("p_type", F.lit(""), "p_brand", "p_type", F.lit(None).cast("string")), "market")
+    return p.select("p_partkey", F.array_join(F.transform(topics, lambda t: F.concat(t["scheme"], F.lit(":"), t["id"], F.lit("="), t["label"])), "|").alias("topics"))
+
+
+@query
+def redacted_turns(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    said = F.when(F.col("turn") % 5 == 0, F.concat("text", F.lit(" password: abcdefgh12"))).otherwise(F.col("text"))
+    return c.select("conv_id", "turn", security.redact_text(said).alias("text"))
+
+
+@query
+def segment_identity(spark, sf_dir):
+    """Names of the parts of conversations: document, place and content decide."""
+    c = read(spark, sf_dir, "conversations").where("text is not null")
+    rows = c.select("conv_id", F.col("turn").cast("int").alias("ordinal"), F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end"), "text")
+    return documents.segment_identity(rows, "conv_id", "turns").select("conv_id", "ordinal", "content_digest", F.substring_index("segment_id", ":", -1).alias("name"))
+
+
+@query
+def unfaithful_segments(spark, sf_dir):
+    """Segments whose text is not what their document holds at their place."""
+    docs = read(spark, sf_dir, "documents").where("text is not null")
+    ascii_ = docs.where(F.col("text").rlike(r"\A[\x00-\x7F]{20,}\z"))
+    told = F.when(F.col("doc_id") % 3 == 0, F.upper(F.substring("text", 5, 12))).otherwise(F.substring("text", 5, 12))
+    rows = ascii_.select("doc_id", F.lit(0).alias("ordinal"), F.lit(4).cast("long").alias("start"), F.lit(16).cast("long").alias("end"), told.alias("text"))
+    return documents.unfaithful_segments(rows, docs, key="doc_id", text="text").select("doc_id", "text")
+
+
+@query
+def page_segments(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    return documents.page_segments(c.select("conv_id", "turn", F.split("text", r"\. ", -1).alias("pages")).withColumn("key", F.concat_ws("/", "conv_id", "turn")), key="key", page_array="pages")
+
+
+@query
+def whole_segments(spark, sf_dir):
+    p = read(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("content"))
+    return documents.whole_segments(p, key="page_id", content="content").select("page_id", "ordinal", "start", "end", F.sha2("content", 256).alias("digest"))
+
+
+@query
+def split_segments(spark, sf_dir):
+    """Metadata rows beside the content rows that they name."""
+    d = read(spark, sf_dir, "documents")
+    key = F.concat(F.lit("d"), F.col("doc_id"))
+    rows = d.where("doc_id % 3 <> 0").select(key.alias("k"), F.col("source").alias("value"))
+    rows = rows.unionByName(d.select(F.concat(key, F.lit(":metadata")).alias("k"), F.col("lang").alias("value")))
+    return documents.split_segments(rows, "k", F.regexp_replace("k", ":metadata$", ""))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
