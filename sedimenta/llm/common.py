@@ -54,9 +54,9 @@ LEAST_HOT = 10_000
 
 def hot_keys(counts: DataFrame, keys: list[str], n: str, least: int = LEAST_HOT) -> DataFrame | None:
     """The hot ones among ``counts(keys, n)``, a written table; None where there are none."""
-    total = counts.agg(F.coalesce(F.sum(n), F.lit(0)).alias("total")).first()["total"]
-    hot = counts.where(F.col(n) > max(least, total // MOST_HOT)).select(*keys)
-    return None if hot.isEmpty() else hot
+    seen = counts.agg(F.coalesce(F.sum(n), F.lit(0)).alias("total"), F.coalesce(F.max(n), F.lit(0)).alias("most")).first()
+    bound = max(least, seen["total"] // MOST_HOT)
+    return counts.where(F.col(n) > bound).select(*keys) if seen["most"] > bound else None
 
 
 def join_hot(rows: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
