@@ -71,10 +71,13 @@ def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
 def stream_digest(rows: DataFrame, encoded: str, order: list[str]) -> DataFrame:
     """``members, digest``: SHA-256 of the canonical array of all texts in order.  A serial
     digest: texts pass through one task as a sorted stream, and none is held."""
+    import hashlib
 
-    def digest(batches):
-        import hashlib
+    schema = "members long, digest string"
+    if rows.isEmpty():  # Spark runs no task over no rows
+        return rows.sparkSession.createDataFrame([(0, "sha256:" + hashlib.sha256(b"[]").hexdigest())], schema)
 
+    def digest(batches):
         h, n = hashlib.sha256(b"["), 0
         for batch in batches:
             for text in batch.column("e").to_pylist():
@@ -83,5 +86,7 @@ def stream_digest(rows: DataFrame, encoded: str, order: list[str]) -> DataFrame:
         h.update(b"]")
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array(["sha256:" + h.hexdigest()])], names=["members", "digest"])
 
-    ranged = rows.orderBy(*order).select(F.col(encoded).alias("e"))
-    return ranged.coalesce(1).mapInArrow(digest, "members long, digest string")
+    # One task sorts, spilling to disk: coalescing sorted ranges would not promise their order.
+    sorted_ = rows.select(F.col(encoded).alias("e"), *[(F.col(c) if isinstance(c, str) else c).alias(f"o{i}") for i, c in enumerate(order)])
+    sorted_ = sorted_.repartition(1).sortWithinPartitions(*[f"o{i}" for i in range(len(order))])
+    return sorted_.select("e").mapInArrow(digest, schema)

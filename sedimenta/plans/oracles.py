@@ -252,6 +252,28 @@ where doc_id % 3 = 0 and length(text) >= 20 and strlen(text) = length(text) and
 O["page_segments"] = "select conv_id || '/' || turn as key, unnest(range(len(pages)))::int as ordinal, unnest(pages) as text from (select conv_id, turn, string_split(text, '. ') as pages from conversations)"
 O["whole_segments"] = "select page_id, 0 as ordinal, 0::bigint as start, strlen(html)::bigint as end, sha256(html) as digest from pages"
 O["split_segments"] = "select 'd' || doc_id || ':metadata' as k, lang as metadata, case when doc_id % 3 <> 0 then source end as content from documents"
+O["array_or_rejected"] = """select c_custkey, case c_custkey % 5 when 1 then c_custkey || '|"' || c_name || '"' else '' end as items,
+case c_custkey % 5 when 2 then '{"k":1}' when 3 then 'not json' else '' end as rejected from customer"""
+O["resolved_agencies"] = """select s_suppkey, case when s_suppkey % 7 = 0 then '' else 'federal-register:' || s_suppkey || '=' || s_name || '|' end || 'nation-' || s_nationkey || '=' || s_name as agencies,
+case when s_suppkey % 7 = 0 then 2 else 1 end as unparseable from supplier"""
+O["named_agency"] = "select c_custkey, c_nationkey, n_name as agency_name, case when n_name is null then c_nationkey end as agency_unparseable from customer left join nation on n_nationkey = c_nationkey and n_nationkey <> 3"
+O["withheld_items"] = """
+with o as (select o_orderkey, case o_orderkey % 6 when 1 then 'Copyrighted' when 2 then 'Confidential Business Information' when 3 then 'Personally Identifiable Information' when 4 then 'Other' when 5 then 'Secret' end as said,
+  case when o_orderkey % 2 = 0 then ' and subtype is ''' || o_orderpriority || '''' else '' end as sub from orders)
+select o_orderkey, case when said = 'Secret' then 'failed' else 'unavailable' end as disposition,
+  case when said is null then 'source.no-candidate-rendition' when said = 'Secret' then 'source.restrict-reason-unread' else 'source.publisher-withheld.' || replace(lower(said), ' ', '-') end as code,
+  case when said is null then 'nothing was acquired' when said = 'Secret' then 'The publisher declares a restrictReasonType this policy does not read: ''Secret''.'
+  else 'The publisher withholds this record''s content; restrictReasonType is ''' || said || '''' || coalesce(sub, '') || '.' end as reason from o"""
+O["event_instants"] = "select event_id, epoch_us(ts) - 7200000000 + 719163::bigint * 86400000000 as instant from events"
+O["own_facts"] = "select p_partkey, (p_size % 4 // 2 + 1)::int as own_facts, array_to_string(range(0, p_size % 4 + 1, 2), ',') as scopes from part"
+O["numbered_interpretations"] = """select p_partkey, case i % 2 when 0 then 'topics' else 'joins' end as kind, lpad((i // 2)::varchar, 4, '0') as number, p_brand || i as result
+from (select p_partkey, p_brand, unnest(range(0, p_size % 6 + 1)) as i from part)"""
+O["listing_coverage"] = """select 'd' || page_id % 4 as dataset, count(*) as objects, sum(length(html))::bigint as bytes, count_if(page_id % 7 <> 0)::bigint as active_objects,
+coalesce(sum(length(html)) filter (page_id % 7 <> 0), 0)::bigint as active_bytes from pages group by 1"""
+O["matched_items"] = """select c_custkey, coalesce(c_mktsegment = 'BUILDING', false) as matches,
+concat_ws(',', case when c_custkey % 2 <> 0 then 'address' end, case when c_custkey % 3 <> 0 then 'phone' end) as unavailable from customer"""
+O["framed_digest"] = """select count(*) as records, 'sha256:' || sha256(unhex(hex('example-domain') || '00' || lpad(to_hex(9), 16, '0') || hex('suppliers') || lpad(to_hex(count(*)), 16, '0')
+  || string_agg(lpad(to_hex(strlen(s_name)), 16, '0') || hex(s_name), '' order by s_suppkey))) as digest from supplier"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import json as J
 from ..functions import rows as R
 from ..functions import security, text
-from ..operators import catalog, census, closure, documents, guards, selections, states, tables
+from ..operators import catalog, census, closure, documents, facts, guards, selections, states, tables
 from ..operators.shared import shared_folder
 from ..sources.layers import LayerStore
 
@@ -808,5 +808,82 @@ def split_segments(spark, sf_dir):
     return documents.split_segments(rows, "k", F.regexp_replace("k", ":metadata$", ""))
 
 
+# --- source-native facts ------------------------------------------------------------
+
+
+@query
+def array_or_rejected(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    k = F.col("c_custkey") % 5
+    value = F.when(k == 1, F.concat(F.lit("["), F.col("c_custkey").cast("string"), F.lit(',"'), "c_name", F.lit('"]'))).when(k == 2, '{"k":1}').when(k == 3, "not json").when(k == 4, "[]")
+    items, rejected = facts.array_or_rejected(value)
+    return c.select("c_custkey", F.array_join(items, "|").alias("items"), F.array_join(rejected, "|").alias("rejected"))
+
+
+@query
+def resolved_agencies(spark, sf_dir):
+    """Agencies by slug or number, from entries of which some repeat and some name nobody."""
+    none, s = F.lit(None).cast("string"), read(spark, sf_dir, "supplier")
+    slug, number = F.concat(F.lit("nation-"), F.col("s_nationkey").cast("string")), F.when(F.col("s_suppkey") % 7 == 0, 0).otherwise(F.col("s_suppkey"))
+    entry = lambda name, raw, slug, id_: F.struct(name.alias("name"), raw.alias("raw_name"), slug.alias("slug"), id_.cast("long").alias("id"))
+    own = entry(F.col("s_name"), none, slug, F.lit(None))
+    resolved, rest = facts.agencies(F.array(own, entry(none, F.col("s_name"), none, number), entry(none, none, F.lit("x"), F.lit(None)), own))
+    return s.select("s_suppkey", F.array_join(F.transform(resolved, lambda a: F.concat(a["agency_id"], F.lit("="), a["agency_name"])), "|").alias("agencies"), F.size(rest).alias("unparseable"))
+
+
+@query
+def named_agency(spark, sf_dir):
+    names = read(spark, sf_dir, "nation").where("n_nationkey <> 3").select(F.col("n_nationkey").alias("agency_id"), F.col("n_name").alias("agency_name"))
+    return facts.named_agency(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", names)
+
+
+@query
+def withheld_items(spark, sf_dir):
+    """What orders without a rendition become, by the publisher's declaration."""
+    o = read(spark, sf_dir, "orders")
+    declared = F.get(F.array(F.lit(None), *map(F.lit, facts.WITHHELD), F.lit("Secret")), F.col("o_orderkey") % 6)
+    outcome = facts.withheld(declared, F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")), F.lit("nothing was acquired"))
+    return o.select("o_orderkey", outcome.alias("x")).select("o_orderkey", "x.*")
+
+
+@query
+def event_instants(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    return e.select("event_id", facts.event_instant(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+02:00"))).alias("instant"))
+
+
+@query
+def own_facts(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    found = F.transform(F.sequence(F.lit(0), F.col("p_size") % 4), lambda i: F.struct((F.col("p_partkey") + i % 2).alias("id"), i.alias("scope")))
+    own = facts.own_facts(found, F.col("p_partkey"))
+    return p.select("p_partkey", F.size(own).alias("own_facts"), F.array_join(F.transform(own, lambda f: f["scope"].cast("string")), ",").alias("scopes"))
+
+
+@query
+def numbered_interpretations(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    made = F.transform(F.sequence(F.lit(0), F.col("p_size") % 6), lambda i: F.struct(F.when(i % 2 == 0, "topics").otherwise("joins").alias("kind"), F.concat("p_brand", i.cast("string")).alias("result")))
+    return facts.numbered_interpretations(p.select("p_partkey", made.alias("made")), "p_partkey", "made", "kind").select("p_partkey", "kind", "number", "value.result")
+
+
+@query
+def listing_coverage(spark, sf_dir):
+    p = read(spark, sf_dir, "pages").select(F.concat(F.lit("d"), F.pmod("page_id", F.lit(4)).cast("string")).alias("dataset"), F.char_length("html").alias("size"), F.when(F.col("page_id") % 7 == 0, "excluded").otherwise("active").alias("state"))
+    return catalog.listing_coverage(p, "dataset", "size")
+
+
+@query
+def matched_items(spark, sf_dir):
+    """Customers of one segment, and which of their facts are missing."""
+    c = read(spark, sf_dir, "customer").withColumns({"phone": F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")), "address": F.when(F.col("c_custkey") % 2 == 0, F.col("c_name"))})
+    return facts.matched(c, "c_custkey", "c_mktsegment", "BUILDING", ["phone", "address"]).withColumn("unavailable", F.array_join("unavailable", ","))
+
+
+@query
+def framed_digest(spark, sf_dir):
+    return facts.framed_digest(read(spark, sf_dir, "supplier"), "s_name", ["s_suppkey"], "example-domain", "suppliers")
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
