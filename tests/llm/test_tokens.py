@@ -1,4 +1,5 @@
 import zlib
+from itertools import chain
 
 import numpy as np
 import pytest
@@ -82,3 +83,35 @@ def test_characters_are_composed_before_they_are_lowered():
     texts = [f"a{c} Word a{c}, {c.lower()}" for c in ("H̱", "T̈", "W̊", "Y̊", "J̌")]
     ids, offsets = own.encode([t.encode() for t in texts], None)
     assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_every_composition_with_an_ascii_letter_has_the_lead_bytes():
+    import unicodedata
+
+    parts = {c: unicodedata.normalize("NFD", c) for c in map(chr, chain(range(0x80, 0xD800), range(0xE000, 0x110000)))}
+    joining = {x for p in parts.values() if p[0].isascii() for x in p[1:]}
+    assert "\u0301" in joining
+    for c, p in parts.items():
+        if p[0] in joining:
+            assert c.encode()[0] in (0xCC, 0xCD), hex(ord(c))
+
+
+def test_new_chunks_go_through_the_library_together():
+    """Capitals beside accents are the same chunks; unseen chunks share texts, also beside marks and rare signs."""
+    library, own = Tokenizer.from_file(default_vocabulary()), ChunkEncoder(default_vocabulary())
+    texts = ["Élan Vital naïve", "élan vital NAÏVE", "a\x01b \x01 plain words, \x01\x01", "Word word, word. Word; 12: 12 , ,", " ".join(f"Wörd{i}, word{i}!" for i in range(700)), "K\u212a \u0301x e\u0301"]
+    calls, batch = [], own.tokenizer.encode_batch_fast
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def encode_batch_fast(self, texts, **options):
+            calls.append(len(texts))
+            return batch(texts, **options)
+
+    own.tokenizer = Counted()
+    for text in texts:
+        ids, _ = own.encode([text.encode()], None)
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert own.chunks(texts[0].encode())[1] == b"vital" and max(calls) < 20
