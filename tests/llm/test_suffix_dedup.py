@@ -78,3 +78,28 @@ def test_cover_and_suffix_order():
     n = collections.Counter(starts)
     assert flags[:500].tolist() == [n[x] > 1 for x in starts]
     assert not flags[500:700].any() and flags[700:].all()
+
+
+def test_slabs_alone_in_their_bucket_are_not_sorted(monkeypatch):
+    r = random.Random(5)
+    both = r.randbytes(500)
+    # A hundred lone slabs, every fourth of a class that stands twice, and one bucket of two slabs.
+    rows = [(i, i, b"d%d" % i, 0, 101, 0, 2 if i % 4 == 0 else 1, r.randbytes(500)) for i in range(100)]
+    rows += [(100, 100 + i, b"e", 0, 101, 0, 1, both) for i in range(2)]
+    found, sorted_slabs, plain = [], [], s.repeated_starts
+
+    class Here:
+        def mapInArrow(self, search, _):
+            for batch in search(iter([s._slab_batch(rows[:60]), s._slab_batch(rows[60:])])):
+                found.extend(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+
+    monkeypatch.setattr(s, "_dealt", lambda slabs: Here())
+    monkeypatch.setattr(s, "repeated_starts", lambda members: sorted_slabs.extend(members) or plain(members))
+    s._sort_buckets(None)
+    assert sorted(found) == sorted((h, d, 0, 101) for _, h, d, _, _, _, w, _ in rows if w > 1 or h >= 100)
+    assert len(sorted_slabs) <= 6  # the bucket of two and the ends of batches
+
+
+def test_who_is_alone():
+    assert s._alone(np.array([1, 2, 3, 3, 4, 5, 5, 6, 7])).tolist() == [False, True, False, False, True, False, False, True, False]
+    assert not s._alone(np.array([1])).any() and not s._alone(np.zeros(0)).any()
